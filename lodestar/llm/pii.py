@@ -109,21 +109,24 @@ def disclosing_terms(found: DataFrame, window: int = 3, alpha: float = 1.25, sup
         F.array_distinct(F.concat(let(terms_of(before), lambda w: F.slice(w, F.greatest(F.size(w) - window + 1, F.lit(1)), window)), F.slice(terms_of(after), 1, window))).alias("terms"),
     )
     met = stored(met)
-    joint = met.select("k", "m", "line", F.explode("terms").alias("term")).groupBy("k", "m", "term").agg(F.countDistinct("line").alias("n_ct")).where(F.col("n_ct") >= support)
-    joint = stored(joint)
-    n_candidates = joint.select("term").distinct().count()
-    if not n_candidates:
-        return joint.select("term"), found.select("id", F.lit("").alias("term")).limit(0)
-    entity = met.groupBy("k", "m").agg(F.countDistinct("line").alias("n_c")).where(F.col("n_c") >= support)
-    candidates = joint.select("term").distinct()
     lines = found.select("id", F.explode(F.split("text", "\n")).alias("line"))
     n_lines = lines.agg(F.approx_count_distinct(F.xxhash64("line"), 0.02)).first()[0]
+    near = met.select("k", "m", "line", F.explode("terms").alias("term"))
+    joint = near.groupBy("k", "m", "term").agg(F.countDistinct("line").alias("n_ct")).where(F.col("n_ct") >= support)
+    entity = met.groupBy("k", "m").agg(F.countDistinct("line").alias("n_c")).where(F.col("n_c") >= support)
+    # PMI >= IC / alpha says that the term stands in `most` lines at most; those near entities are some of them
+    most = F.col("n_ct") * F.pow(F.greatest(F.lit(float(max(n_lines, 1))) / F.col("n_c"), F.lit(1.0)), 1 - 1 / alpha)
+    at_least = near.groupBy("term").agg(F.countDistinct("line").alias("e_t"))
+    candidates = joint.join(entity, ["k", "m"]).groupBy("term").agg(F.max(most).alias("most")).join(at_least, "term").where("e_t <= most").select("term", "most")
+    candidates = stored(candidates)
+    n_candidates = candidates.count()
+    if not n_candidates:
+        return candidates.select("term"), found.select("id", F.lit("").alias("term")).limit(0)
     words = lines.select("id", F.xxhash64("line").alias("line"), F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
-    seen = stored(words.join(F.broadcast(candidates) if n_candidates <= BROADCAST_ROWS else candidates, "term"))
+    wanted = candidates.select("term")
+    seen = stored(words.join(F.broadcast(wanted) if n_candidates <= BROADCAST_ROWS else wanted, "term"))
     frequency = seen.groupBy("term").agg(F.countDistinct("line").alias("n_t"))
-    n = F.lit(float(max(n_lines, 1)))
-    pmi = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
-    terms = joint.join(entity, ["k", "m"]).join(frequency, "term").where(pmi >= F.log(n / F.col("n_c")) / F.lit(alpha)).select("term").distinct()
+    terms = frequency.join(candidates, "term").where("n_t <= most").select("term")
     terms = stored(terms)
     return terms, seen.join(terms, "term").select("id", "term").distinct()
 
