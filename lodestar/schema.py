@@ -7,8 +7,12 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 2
 
 
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Column names and types; needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in text.split(", "))])
 
 
 FILES = _schema("id long, path string, name string, folder string, ext string, kind string, is_dir boolean, size long, mtime double, seen long, content_mtime double, taken double")
