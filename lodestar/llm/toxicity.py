@@ -110,17 +110,21 @@ def learn_lexicon(texts: Iterable[str | None], toxic: Iterable[int], least: int
     bad = Counter({p: n for p, n in bad.items() if n >= 3})
     fine = Counter(p for t in texts_of[0] for p in _patterns(set(t.split())) if p in bad)
 
+    harmful, harmless = ({p: c[p] for p in lexicon.weights} for c in (bad, fine))
+
     def log_odds(p: str) -> float:
         return math.log((bad[p] + 0.5) / (n1 + 1)) - math.log((fine[p] + 0.5) / (n0 + 1))
 
-    around = _contexts(texts_of[1], {p for p in bad if log_odds(p) > ratio})
-    bad = Counter({p: n for p, n in around.items() if n >= least})
+    # first by texts, to leave common words out; what is left by contexts, of either class
+    likely = {p for p in bad if log_odds(p) > ratio / 2}
+    bad = Counter({p: n for p, n in _contexts(texts_of[1], likely).items() if n >= least})
+    fine = _contexts(texts_of[0], set(bad))
     odds = {p: log_odds(p) for p in bad}
     good = {p for p, o in odds.items() if o > ratio}
     stems = {p for p in good if not p.endswith(" ") and family[p] >= 4}
     chosen = {p for p in good if p in stems or p.endswith(" ")}
     chosen = {p for p in chosen if not any(p[:k] in stems for k in range(5, min(len(p), 8)) if p[:k] != p)}
-    for p in [p for p in lexicon.weights if fine[p] > bad[p]]:
+    for p in [p for p in lexicon.weights if harmless[p] > harmful[p]]:
         del lexicon.weights[p]  # its own labels call this seed word harmless
     lexicon.weights |= {p: min(odds[p], 8.0) for p in sorted(chosen)}
     matcher = lexicon.automaton()
