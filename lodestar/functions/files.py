@@ -22,6 +22,8 @@ ZIP_EXTENSIONS = "docx xlsx pptx odt ods odp epub".split()
 OLE_EXTENSIONS = "doc xls ppt".split()
 RTF_EXTENSIONS = ["rtf"]
 PHOTO_EXTENSIONS = "jpg jpeg tif tiff png webp heic heif avif dng cr2 nef arw orf rw2".split()
+# Kinds of files that may start a program.
+RUNNABLE_EXTENSIONS = "desktop sh run appimage bin exe bat jar py pl rb command flatpakref deb rpm".split()
 
 _KINDS = {ext: kind for kind, exts in KIND_EXTENSIONS.items() for ext in exts.split()}
 
@@ -56,6 +58,11 @@ def format_time(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
 
 
+def is_runnable(ext: Column) -> Column:
+    """Whether opening a file of this extension may start a program."""
+    return ext.isin(RUNNABLE_EXTENSIONS)
+
+
 def wanted_extensions(index_text: bool = True, index_photos: bool = True, ole: bool = False, pdf: bool = False) -> list[str]:
     """Extensions whose content is read under these settings."""
     out = set(TEXT_EXTENSIONS + ZIP_EXTENSIONS + RTF_EXTENSIONS if index_text else [])

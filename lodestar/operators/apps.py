@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def offered_apps(entries: DataFrame, desktops: Sequence[str] = ()) -> DataFrame:
+def offered_apps(entries: DataFrame, desktops: Sequence[str] = (), installed: Sequence[str] | None = None) -> DataFrame:
     """Entries that are offered, one per id: the folder of least dir_rank wins, hidden ones don't shadow.
 
     entries has id, name, mime_types, dir_rank and optional flags no_display, hidden, terminal and lists
-    only_show_in, not_show_in.
+    only_show_in, not_show_in. With a list of installed commands, entries whose try_exec isn't among them go.
     """
     out = entries.where(F.coalesce("name", F.lit("")) != "")
     for flag in ("no_display", "hidden", "terminal"):
@@ -23,6 +23,8 @@ def offered_apps(entries: DataFrame, desktops: Sequence[str] = ()) -> DataFrame:
         out = out.where((F.coalesce(F.size("only_show_in"), F.lit(0)) <= 0) | F.arrays_overlap("only_show_in", here))
     if desktops and "not_show_in" in entries.columns:
         out = out.where(~F.coalesce(F.arrays_overlap("not_show_in", here), F.lit(False)))
+    if installed is not None and "try_exec" in entries.columns:
+        out = out.where(F.col("try_exec").isNull() | F.col("try_exec").isin(list(installed)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dir_rank"))
     return out.withColumn("__r", rank).where("__r = 1").drop("__r")
 

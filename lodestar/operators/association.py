@@ -21,8 +21,14 @@ def document_words(name: Column, folder: Column, content: Column) -> Column:
     return F.slice(F.array_distinct(useful), 1, READ_WORDS)
 
 
+def sampled(docs: DataFrame, most: int) -> DataFrame:
+    """About `most` documents by a hash of their id, all if there are no more: each of a step that their number gives."""
+    step = max(1, docs.count() // most)
+    return docs if step == 1 else docs.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
+
+
 def related_words(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """(word, other, score): pairs in both directions, score being their Jaccard overlap.
+    """(word, other, score): pairs in both directions, score being their Jaccard overlap. All documents count; sampled() gives fewer.
 
     Frequencies count all words of a document, pairs only its PAIRED_WORDS rarest usable ones (ties by word), so a
     document gives 105 pairs at most. Fewer than LEAST_DOCS documents with two words teach nothing.

@@ -247,6 +247,13 @@ def search(index: Index, text: str, now: float, home: str = "/home", limit: int
     return result
 
 
+def sort_hits(hits: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Hits by another column: texts without regard to case, a missing date as 0, ties by id."""
+    kind = dict(hits.dtypes)[column]
+    key = F.lower(column) if kind == "string" else F.coalesce(F.col(column), F.lit(0))
+    return hits.orderBy(key.desc() if descending else key, "id")
+
+
 def files_near(index: Index, path: str, limit: int = 200) -> Result:
     name = path.rpartition("/")[2]
     rows = nearby(index.files, path, limit).withColumns({"label": type_label(F.col("kind"), F.col("ext")), "score": F.lit(0.0), "reason": F.lit(f"same folder as {name}")})

@@ -120,3 +120,16 @@ def test_fuzzy_rules(spark):
     vocab = spark.createDataFrame([("invoice", 1), ("invoices", 0), ("voice", 1), ("report", 1)], "word string, src int")
     terms = spark.createDataFrame([("invoce",), ("1234",), ("abc",)], "term string")
     assert [(r.word, r.place) for r in spelling.fuzzy_words(terms, vocab).orderBy("place").collect()] == [("invoice", 1), ("invoices", 2)]
+
+
+def test_sorting_hits(index):
+    from lodestar.plans.search import sort_hits
+
+    hits = search(index, "invoice", NOW, HOME).hits
+    assert [r.name for r in sort_hits(hits, "name").collect()] == ["Invoice_Acme_2025.pdf", "invoice_old.txt"]
+    assert [r.size for r in sort_hits(hits, "size", True).collect()] == sorted((r.size for r in hits.collect()), reverse=True)
+
+
+def test_sampling(spark):
+    docs = spark.range(1000)
+    assert association.sampled(docs, 2000).count() == 1000 and 50 < association.sampled(docs, 100).count() < 200

@@ -113,3 +113,31 @@ def test_throttles():
 def test_windows_take_late_events(spark):
     df = spark.createDataFrame([("2024-01-01 23:59:59", "view", 1.0), ("2024-01-02 00:00:00", "view", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.n for r in stream.windowed_counts(df).collect()) == [1, 1]
+
+
+def test_catalog_keeps_logs_and_survives_a_failed_write(spark, tmp_path):
+    from lodestar.sources.catalog import Catalog
+
+    c = Catalog(spark, str(tmp_path))
+    assert c.read("files") is None and c.get_meta("scan", "0") == "0"
+    for k in range(4):
+        c.write("files", spark.range(k + 1), sort="id")
+    assert c.read("files").count() == 4 and c.versions("files") == [3, 4]
+    (tmp_path / "v2" / "files" / "9").mkdir()  # a write that never ended
+    assert c.read("files").count() == 4
+    c.append("clicks", spark.range(2))
+    c.append("clicks", spark.range(3))
+    c.set_meta("scan", "1")
+    c.set_meta("scan", "2")
+    assert c.get_meta("scan") == "2"
+    c.reset()
+    assert c.read("files") is None and c.read("clicks").count() == 5
+
+
+def test_offers_and_runnables(spark):
+    from lodestar.functions.files import is_runnable
+
+    entries = spark.createDataFrame([("a", "A", ["x/y"], 0, "gone", ["KDE"]), ("b", "B", ["x/y"], 0, None, [])], "id string, name string, mime_types array<string>, dir_rank int, try_exec string, only_show_in array<string>")
+    assert rows(apps.offered_apps(entries, installed=["sh"]), "id") == [("b",)] and rows(apps.offered_apps(entries, ["GNOME"]), "id") == [("b",)]
+    assert rows(spark.createDataFrame([("sh",), ("txt",)], "e string").where(is_runnable(F.col("e")))) == [("sh",)]
+    assert extract.text_of("pdf", b"%PDF") == ""
