@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 
+#: Neighbours from which a node's edges are spread, the tasks they go to, and hubs whose list may be broadcast.
+HUB, HUB_PARTS, MOST_BROADCAST = 50_000, 64, 100_000
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 
@@ -51,6 +55,19 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the m of their u. Edges of hubs are spread over HUB_PARTS tasks, to each of which the hub's row goes."""
+    hubs = least.where(F.col("n") > HUB)
+    n_hubs = hubs.count()  # edges / HUB at most
+    if not n_hubs:
+        return edges.join(least, "u")
+    named = hubs.select("u", F.lit(True).alias("hub"))
+    marked = edges.join(F.broadcast(named) if n_hubs <= MOST_BROADCAST else named, "u", "left")
+    dealt = marked.withColumn("part", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS))).otherwise(0).cast("int"))
+    parts = F.when(F.col("n") > HUB, F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(least.withColumn("part", F.explode(parts)), ["u", "part"])
+
+
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(id, component_id) for every id on an edge; component_id is the smallest id reachable.
 
@@ -62,9 +79,9 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     before = _print(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large)
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = stored(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        discard(least)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small)

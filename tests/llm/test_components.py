@@ -1,9 +1,13 @@
 import random
 
+import pytest
+
 from lodestar.llm.components import Forest, connected_components
 
 
-def test_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("hub", [50_000, 5])
+def test_chains_stars_and_loops(spark, monkeypatch, hub):
+    monkeypatch.setattr("lodestar.llm.components.HUB", hub)
     random.seed(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(7, 7), (9, 8), (8, 9), (9, 8)]
     edges += [(random.randrange(1000, 1200), random.randrange(1000, 1200)) for _ in range(90)]
