@@ -93,7 +93,7 @@ def terms_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(line, f"[^{_TERM_CHARS}]+", " ")), " "), lambda w: w.rlike(r"^\p{L}.{2}"))
 
 
-def disclosing_terms(found: DataFrame, window: int = 3, alpha: float = 1.25, support: int = 3) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(found: DataFrame, window: int = 5, alpha: float = 1.25, support: int = 3) -> tuple[DataFrame, DataFrame]:
     """(terms, hits): terms that reveal a protected entity, and (id, term) for each text that holds one.
 
     found has id, text and base (spans). Entities are the distinct base matches. Over the corpus's distinct lines,
@@ -131,7 +131,7 @@ def disclosing_terms(found: DataFrame, window: int = 3, alpha: float = 1.25, sup
     return terms, seen.join(terms, "term").select("id", "term").distinct()
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, alpha: float = 1.25, support: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 5, alpha: float = 1.25, support: int = 3) -> DataFrame:
     """Append base (array of spans), more (spans of disclosing terms outside the base) to docs.
 
     A span is s, k, e, m: start and end in code points, number of the kind (PATTERNS in order, then term), text.
