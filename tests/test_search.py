@@ -133,3 +133,9 @@ def test_sorting_hits(index):
 def test_sampling(spark):
     docs = spark.range(1000)
     assert association.sampled(docs, 2000).count() == 1000 and 50 < association.sampled(docs, 100).count() < 200
+
+
+def test_terms_reach_the_scan(index, capsys):
+    matches(index.postings, group_phrases([["tax"]])).explain()
+    plan = capsys.readouterr().out
+    assert "StringStartsWith(term,tax)" in plan and "EqualTo(term,tax)" in plan
