@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,39 +16,71 @@ from pyspark.sql import types as T
 from .common import with_arrow
 
 UNKNOWN = "und"
-_LETTERS = regex.compile(r"\p{L}+").findall
 _SHARE = 1 << 20
-#: Tokens whose features a task keeps; emptied at this size.
-_KEPT = 200_000
+#: Code points that are looked at together; longer texts go through in such parts, cut at a space.
+_CHUNK = 1 << 19
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 @dataclass
 class LanguageModel:
+    """table holds a row per bucket: scores of languages, or embeddings that `out` turns into scores."""
+
     languages: list[str]
-    scores: np.ndarray  # buckets x languages: embedding times output weights
+    table: np.ndarray
     bias: np.ndarray
+    out: np.ndarray | None = field(default=None)
     temperature: float = 1.0
     reject_below: float = 0.0
 
+    def scores(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.out is None else mean @ self.out) + self.bias
+
+
+@cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _B
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def subwords(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, places) of the subwords of a lower-cased text: its runs of letters and, with their ends marked, all
+    pieces of two and three signs of them. A place is that of a letter plus one. buckets is a power of two."""
+    code = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32)
+    letter = _is_letter()[code]
+    c = np.where(letter, code, 0).astype(np.uint64)
+    two = np.flatnonzero(letter[:-1] | letter[1:])
+    three = np.flatnonzero(letter)
+    start = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    h2 = c[two] * _A + c[two + 1] * _C + np.uint64(1)
+    h3 = c[three - 1] * _A + c[three] * _C + c[three + 1] * _B + np.uint64(2)
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.arange(len(code), dtype=np.uint64)
+    run = np.maximum.accumulate(np.where(letter & ~np.roll(letter, 1), at, np.uint64(0)))
+    signs = (c * _A + np.uint64(1)) ^ ((at - run) * _C)
+    signs = np.where(letter, (signs ^ (signs >> np.uint64(31))) * _B, np.uint64(0))
+    words = np.add.reduceat(signs, start) + np.uint64(3)
+    return np.concatenate([_bucket(h, buckets) for h in (words, h2, h3)]), np.concatenate([start, np.where(letter[two], two, two + 1), three])
 
-def subwords(token: str, buckets: int) -> list[int]:
-    """Buckets of the words of a token and of their 2 and 3 letter pieces, ends marked."""
+
+def parts_of(text: str) -> list[str]:
+    """The text in parts of bounded size, cut at spaces where there are any."""
     out = []
-    for word in _LETTERS(token):
-        marked = f"<{word}>"
-        out.append(zlib.crc32(marked.encode()) % buckets)
-        for n in (2, 3):
-            out.extend(zlib.crc32(marked[k : k + n].encode()) % buckets for k in range(len(marked) - n + 1))
-    return out
-
-
-def _counts(text: str, buckets: int, seen: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
-    for token in text.lower().split():
-        if (got := seen.get(token)) is None:
-            got = seen[token] = subwords(token, buckets)
-        ids.extend(got)
-    at, n = np.unique(np.array(ids, np.int64), return_counts=True)
+    while len(text) > _CHUNK:
+        cut = text.rfind(" ", _CHUNK // 2, _CHUNK) + 1 or _CHUNK
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text]
+
+
+def _counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([subwords(p, buckets)[0] for p in parts_of(text.lower())])
+    at, n = np.unique(ids, return_counts=True)
     return at, n / max(n.sum(), 1)
 
 
@@ -58,12 +91,11 @@ def train_languages(texts: list[str], langs: list[str], buckets: int = 1 << 15,
     right answers would be lost. No texts give a model without languages; one language is always right.
     """
     names = sorted(set(langs))
-    seen: dict[str, list[int]] = {}
     rows = []
     for t, lang in zip(texts, langs, strict=True):
         y = names.index(lang)
         for part in {t, *sorted(t.split("\n"), key=len)[-2:]}:
-            at, share = _counts(part, buckets, seen)
+            at, share = _counts(part, buckets)
             if len(at):
                 rows.append((zlib.crc32(part.encode()) % 10 == 0, y, at, share))
     rng = np.random.default_rng(seed)
@@ -86,9 +118,10 @@ def train_languages(texts: list[str], langs: list[str], buckets: int = 1 << 15,
             w -= lr * np.outer(v, g)
             b -= lr * 0.1 * g
             e[at] -= lr * 10 * share[:, None] * back
-    model = LanguageModel(names, (e @ w).astype(np.float32), b)
+    few = len(names) <= dim
+    model = LanguageModel(names, (e @ w if few else e).astype(np.float32), b, None if few else w)
     if hold and len(names) > 1:
-        z = np.array([share @ model.scores[at] + b for _, _, at, share in hold])
+        z = np.array([model.scores(share @ model.table[at]) for _, _, at, share in hold])
         y = np.array([r[1] for r in hold])
 
         def loss(t: float) -> float:
@@ -132,41 +165,48 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     """
 
     def make():
-        buckets, n = model.scores.shape
-        row: dict[str, int] = {}
-        table = np.zeros((_KEPT + 1, n + 1))
-
-        def index(token: str) -> int:
-            k = row[token] = len(row)
-            ids = subwords(token, buckets)
-            table[k, :n] = model.scores[ids].sum(axis=0) if ids else 0.0
-            table[k, n] = len(ids)
-            return k
-
-        def totals(tokens: list[str]) -> np.ndarray:
-            total = np.zeros(n + 1)
-            for at in range(0, len(tokens), 50_000):
-                part = tokens[at : at + 50_000]
-                if len(row) + len(part) > _KEPT:
-                    row.clear()
-                get = row.get
-                ids = [k if (k := get(t)) is not None else index(t) for t in part]
-                total += table[ids].sum(axis=0)
-            return total
-
-        def run(batch: pa.RecordBatch) -> list:
-            pred, score, rejected = [], [], []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                total = totals(t.lower().split()) if t and n else np.zeros(n + 1)
-                if not n or not total[n]:
-                    pred.append(UNKNOWN), score.append(0.0), rejected.append(True)
+        (buckets, width), n = model.table.shape, len(model.languages)
+        columns = np.ascontiguousarray(model.table.T)
+
+        def answers(texts: list[str | None]) -> list[tuple]:
+            """Texts in groups of about a chunk, each place summed to its text."""
+            total, number = np.zeros((len(texts), width)), np.zeros(len(texts))
+            group: list[str] = []
+            owner: list[int] = []
+
+            def add() -> None:
+                size = np.array([len(p) + 1 for p in group])
+                ids, at = subwords(" ".join(group), buckets)
+                text_of = np.repeat(np.array(owner), size)[np.clip(at - 1, 0, size.sum() - 1)]
+                low, high = owner[0], owner[-1] + 1
+                number[low:high] += np.bincount(text_of - low, minlength=high - low)
+                for k in range(width):
+                    total[low:high, k] += np.bincount(text_of - low, weights=columns[k][ids], minlength=high - low)
+                group.clear(), owner.clear()
+
+            for k, text in enumerate(texts):
+                for part in parts_of(text.lower()) if text else ():
+                    group.append(part), owner.append(k)
+                    if sum(map(len, group[-64:])) > _CHUNK or len(group) >= 64:
+                        add()
+            if group:
+                add()
+            out = []
+            for k in range(len(texts)):
+                if not n or not number[k]:
+                    out.append((UNKNOWN, 0.0, True))
                     continue
-                z = (total[:n] / total[n] + model.bias) / model.temperature
+                z = model.scores(total[k] / number[k]) / model.temperature
                 p = np.exp(z - z.max())
                 p /= p.sum()
-                k = int(p.argmax())
-                pred.append(model.languages[k]), score.append(float(p[k])), rejected.append(bool(p[k] < model.reject_below))
-            return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+                best = int(p.argmax())
+                out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+            return out
+
+        def run(batch: pa.RecordBatch) -> list:
+            found = answers(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            kinds = (pa.string(), pa.float64(), pa.bool_())
+            return [pa.array([row[k] for row in found], kind) for k, kind in enumerate(kinds)]
 
         return run
 

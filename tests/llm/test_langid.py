@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.llm import registry
-from lodestar.llm.langid import UNKNOWN, fit_languages, predict_languages, subwords, train_languages
+from lodestar.llm.langid import UNKNOWN, fit_languages, parts_of, predict_languages, subwords, train_languages
 
 ENGLISH, GERMAN = "the house is on the hill and the dog was there", "das haus ist auf dem berg und der hund war dort"
 
@@ -47,7 +47,7 @@ def test_nulls_teach_nothing_and_runs_agree(spark):
     rows = [(k, t, lang) for k in range(30) for t, lang in ((ENGLISH, "en"), (GERMAN, "de"), (ENGLISH, None), (None, "fr"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     a, b = fit_languages(docs), fit_languages(docs.repartition(3))
-    assert a.languages == ["de", "en"] and np.array_equal(a.scores, b.scores)
+    assert a.languages == ["de", "en"] and np.array_equal(a.table, b.table)
     assert fit_languages(docs, only=F.lit(False)).languages == []
 
 
@@ -57,4 +57,29 @@ def test_rejection_is_calibrated():
 
 
 def test_subwords():
-    assert subwords("12!", 64) == [] and len(subwords("ab", 1 << 20)) == 1 + 3 + 2
+    size = lambda t: len(subwords(t, 1 << 20)[0])
+    assert size("12!") == 0 and size("") == 0 and size("ab") == 1 + 3 + 2 and size("a1b") == 2 * (1 + 2 + 1)
+    same = lambda a, b: sorted(subwords(a, 1 << 20)[0]) == sorted(subwords(b, 1 << 20)[0])
+    assert same("the cat", "cat, the!") and not same("the cat", "the act")
+
+
+def test_parts_join_to_the_text_and_change_little(monkeypatch):
+    monkeypatch.setattr("lodestar.llm.langid._CHUNK", 16)
+    text = "some words of a text and averyveryverylongwordthatiscutanywhere end"
+    assert "".join(parts_of(text)) == text and max(map(len, parts_of(text))) <= 16
+
+
+def test_many_languages_use_embeddings(spark):
+    texts = [f"{chr(97 + k) * 3} {chr(98 + k) * 4} word" for k in range(20)]
+    model = train_languages(texts * 15, [f"l{k:02}" for k in range(20)] * 15, buckets=1 << 12)
+    assert model.out is not None
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    assert sum(r.lang_pred == f"l{r.k:02}" for r in predict_languages(df, model).collect()) >= 14
+
+
+def test_neighbours_do_not_matter(spark):
+    """A text's answer is the same alone and among others."""
+    model, texts = small(), ["the dog", None, "12", "und der hund", "", "x", "das haus " * 300, "7", "hill"]
+    together = [(r.lang_pred, r.score) for r in predict_languages(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1), model).orderBy("k").collect()]
+    alone = [(r.lang_pred, r.score) for t in texts for r in predict_languages(spark.createDataFrame([(t,)], "text string"), model).collect()]
+    assert [a[0] for a in together] == [a[0] for a in alone] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(together, alone, strict=True))
