@@ -21,8 +21,8 @@ DROPPED = frozenset("aside button datalist dialog embed footer form head header
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class and id that name page furniture.
 _FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|popup|promo|related|respond|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
-#: Class names that say what a wrapper has or lacks, not what it is.
-_STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.I)
+#: Class names that say what a wrapper has or lacks, or that hold the article's own title.
+_STATES = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with|without)[-_]\S+|(?:article|entry|post|page|story|content|section)[-_]+(?:header|title)\S*)", re.I)
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Elements that an opening tag ends although their own end tag is missing.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,6 +60,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = self.count = 0
         self.anchors = 0
+        self.names = {0: ""}
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -95,7 +96,9 @@ class _Lines(HTMLParser):
         dropped = dropped or "hidden" in named or (named.get("aria-hidden") or "").lower() == "true"
         if tag == "a":
             self.anchors += 1
-        self.count += tag in BLOCKS
+        if tag in BLOCKS:
+            self.count += 1
+            self.names[self.count] = tag
         self.stack.append(_Open(tag, dropped, self.count if tag in BLOCKS else 0, inside or tag in ("article", "main"), tag if tag in BLOCKS else self._kind))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -134,12 +137,13 @@ class _Lines(HTMLParser):
             self.linked += len(data) if self.anchors else 0
 
 
-def read_lines(html: str) -> list[Line]:
+def read_lines(html: str) -> tuple[list[Line], dict[int, str]]:
+    """The lines of a page, and the element names of the containers on their paths."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._flush()
-    return parser.lines
+    return parser.lines, parser.names
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -149,15 +153,37 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _widened(region: int, lines: list[Line], names: dict[int, str]) -> int:
+    """The innermost article or main element around the region; without one, the region with the headings that stand around it."""
+    path = next(x.path for x in lines if region in x.path)
+    above = path[: path.index(region) + 1]
+    for wanted in ("article", "main"):
+        if found := [n for n in above if names[n] == wanted]:
+            return found[-1]
+    plain: dict[int, int] = {}
+    for x in lines:
+        if x.kind not in _HEADINGS:
+            for n in x.path:
+                plain[n] = plain.get(n, 0) + 1
+    for parent in reversed(above[:-1]):
+        if plain.get(parent, 0) > plain.get(region, 0):
+            break
+        region = parent
+    return region
+
+
 def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5, share: float = 0.7) -> str:
     """The article's blocks, one per line.
 
     Furniture goes by element, role, class and id. The other lines are scored by text outside links per tag, the
     scores smoothed, and lines above `spread` standard deviations below the mean of their scores form the content
-    clusters. The region is the innermost container with `share` of the clusters' text; every line in it stays,
-    however short, except lists of links.
+    clusters. The region is the innermost container with `share` of the clusters' text, or the article around it, or
+    the containers that only add headings; every line in it stays, however short, except lists of links.
     """
-    lines = read_lines(html) if html else []
+    lines, names = read_lines(html) if html else ([], {})
     if not lines:
         return ""
     own = np.array([max(len(x.text) - x.linked, 0) for x in lines], float)
@@ -173,7 +199,7 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5, share:
             depth[number] = k
     leaves = {x.path[-1] for x in lines if x.path and x.kind in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote", "dd", "figcaption")}
     enough = [n for n, w in inside.items() if w >= share * weight.sum() and n not in leaves]
-    region = max(enough, key=lambda n: (depth[n], n)) if enough else None
+    region = _widened(max(enough, key=lambda n: (depth[n], n)), lines, names) if enough else None
     kept = [x for x in lines if region is None or region in x.path]
     return "\n".join(x.text for x in kept if not (x.kind == "li" and x.linked >= 0.9 * len(x.text)))
 

@@ -19,6 +19,13 @@ def test_furniture_goes_and_short_blocks_stay():
     assert main_text(PAGE).split("\n") == ["Title & more", "First paragraph with text enough to be the article, certainly.", "Second bold has white space and is long as well.", "point one", "point two", "Short."]
 
 
+def test_titles_of_articles_and_other_layouts():
+    page = '<article><header class="entry-header"><h1>Own title</h1></header><div class="entry-content"><p>Some text of the article.</p><div class="related-posts">Others</div></div><section id="comments"><p>Hm.</p></section></article>'
+    assert main_text(page) == "Own title\nSome text of the article."
+    table = "<table><tr><td><a href=x>Home</a></td><td><p>Long text in a cell of a table page, as it was once.</p><p>More text.</p></td></tr></table>"
+    assert main_text(table) == "Long text in a cell of a table page, as it was once.\nMore text."
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\nb"), ("<article><p>x &lt;y&gt; &#233;</article>", "x <y> é"), ("<p>unclosed <b>bold", "unclosed bold"), ("<script>x</script>", ""), ("<<<>>", "<<<>>"), ("<p>a<!-- c -->b</p>", "ab")])
 def test_odd_pages(html, text):
     assert main_text(html) == text
