@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable
@@ -27,10 +28,13 @@ EXCEPTIONS = ("pathetic fallacy", "clown fish", "class clown", "trash can", "tra
 _LOOKALIKES = dict(zip("аеорсухіјѕԁӏһѵαβεικνορτυχ", "aeopcyxijsdlhvabeiknoptux", strict=True))
 #: Digits and signs that stand for letters, when they touch a letter.
 _LEET = dict(zip("013457@$!", "oieastasi", strict=True))
-_FULL = {chr(0xFF21 + k): chr(97 + k) for k in range(26)} | {chr(0xFF41 + k): chr(97 + k) for k in range(26)}
-_LETTERS = str.maketrans(_LOOKALIKES | _FULL)
+#: Wide, mathematical and circled letters are those that they are compatible with.
+_STYLED = {chr(c): n.lower() for a, b in ((0xFF21, 0xFF5B), (0x1D400, 0x1D6A6), (0x24B6, 0x24EA), (0x2100, 0x2140)) for c in range(a, b) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii() and n.isalpha()}
+#: Signs without width, which only break words up.
+_UNSEEN = dict.fromkeys(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)))
+_LETTERS = str.maketrans(_LOOKALIKES | _STYLED | _UNSEEN)
 #: Between letters, or before one: "1d10t", "$tupid"; runs such as "***" or "!!" after a word stay signs.
-_INSIDE = re.compile(r"(?<![0-9@$!])[0-9@$!]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578](?![^\W_])")
+_INSIDE = re.compile(r"(?<![0-9@$!])(?:[0-9@$]{1,3}|!)(?=[^\W\d_])|(?<=[^\W\d_])[013457](?![^\W_])")
 _GAPS = re.compile(r"[\W\d_]+")
 _LEET_TABLE = str.maketrans(_LEET)
 

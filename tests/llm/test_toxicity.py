@@ -10,6 +10,7 @@ from lodestar.llm.toxicity import Lexicon, density, drop_toxic, fit_toxicity, fo
 def test_folding():
     assert fold("You 1d10t, $tupid m0r0n! іdiot ＩＤＩＯＴ") == " you idiot stupid moron idiot idiot "
     assert fold("words*** and$$$ an!! 2024 a1") .split()[:3] == ["words", "and", "an"]
+    assert fold("l053r 𝐢𝐝𝐢𝐨𝐭 ⓘdiot id\u200biot b!d hello!!world") == " loser idiot idiot idiot bid hello world "
     assert fold("") == "  " and fold("!!! 12") == "  "
 
 
