@@ -53,7 +53,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, phrases: list[Phrase], n_groups: int | None, limit: int = 100) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    scored = bm25(matches(postings(docs), phrases), doc_lengths(docs), n_groups=n_groups)
+    lengths = doc_lengths(docs).persist()  # read twice; an index has them as a table
+    scored = bm25(matches(postings(docs), phrases), lengths, n_groups=n_groups)
     best = top(scored.select("id", F.round("raw", 6).alias("raw")), limit)
     return best.join(_files(spark, sf_dir).select("id", "path"), "id").select("id", "path", "raw")
 
