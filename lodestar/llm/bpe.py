@@ -18,7 +18,7 @@ _NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this take the queue: a matrix of one round per merge would cost their length squared.
 _WIDEST = 256
 #: Pieces whose ids a task keeps; the store is emptied at this size, which bounds its memory.
-_KEPT = 400_000
+_KEPT = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,7 +186,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
         return run
 
-    return with_arrow(df, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], make)
+    return with_arrow(df, [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], make, 1 << 20)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -202,4 +202,4 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", decoded:
 
         return run
 
-    return with_arrow(df, [T.StructField(decoded, T.BinaryType())], make)
+    return with_arrow(df, [T.StructField(decoded, T.BinaryType())], make, 2 << 20)

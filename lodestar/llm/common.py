@@ -44,10 +44,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], most: int = 8 << 20) -> DataFrame:
     """Append (or replace) columns computed per Arrow batch, keeping all other columns.
 
-    make() runs once in each task and returns the function from a batch to one array per field.
+    make() runs once in each task and returns the function from a batch to one array per field. Batches come in
+    slices of about `most` bytes.
     """
     names = [f.name for f in fields]
     kept = [c for c in df.columns if c not in names]
@@ -56,14 +57,14 @@ def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most):
                 made = compute(part)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + made, names=kept + names)
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `most` bytes, so that very long texts don't pile up."""
     if batch.num_rows == 0:
         return
