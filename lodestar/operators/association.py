@@ -33,7 +33,7 @@ def related_words(docs: DataFrame, top: int = TOP) -> DataFrame:
     Frequencies count all words of a document, pairs only its PAIRED_WORDS rarest usable ones (ties by word), so a
     document gives 105 pairs at most. Fewer than LEAST_DOCS documents with two words teach nothing.
     """
-    read = docs.select("id", document_words(F.col("name"), F.col("folder"), F.col("content")).alias("words")).where(F.size("words") >= 2)
+    read = docs.select("id", document_words(F.col("name"), F.col("folder"), F.col("content")).alias("words")).where(F.size("words") >= 2).persist()  # read three times
     n = read.count()
     if n < LEAST_DOCS:
         return read.sparkSession.createDataFrame([], "word string, other string, score double")

@@ -74,6 +74,12 @@ class Index:
             empty([], "query string, ts double") if searches is None else searches,
         )
 
+    def persist(self) -> Index:
+        """Keep the derived tables in executors' memory and disks while one session searches; save() for more."""
+        for name in ("postings", "lengths", "vocab", "grams", "related"):
+            getattr(self, name).persist()
+        return self
+
     def save(self, path: str) -> Index:
         """Write the tables below path, postings and lists sorted for point look-ups, and return them as read back."""
         by = {"postings": "term", "vocab": "word", "grams": "gram", "related": "word", "files": "path"}

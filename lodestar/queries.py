@@ -230,7 +230,7 @@ def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search with typo and second pass; results by the driver's plan."""
     from .plans.search import search
 
-    index = Index.build(_files(spark, sf_dir), _docs(spark, sf_dir))
+    index = Index.build(_files(spark, sf_dir), _docs(spark, sf_dir)).persist()
     return search(index, "src3 einschh in DE", NOW, home="/corpus/src3").hits
 
 
