@@ -21,7 +21,7 @@ PATTERNS = {
 _BYTE = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 _TERM_CHARS = r"\p{L}\p{N}'-"
 TERM = "term"
-#: Documents or terms up to which a list is broadcast; beyond, it is joined by shuffle.
+#: Entries up to which a list of terms, or of documents with theirs, is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 _SPAN = "struct<s:int,k:int,e:int,m:string>"
@@ -144,7 +144,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = docs.select(*[F.col(f"`{c}`") for c in kept], t.alias("__t")).withColumn("base", F.concat(*by_kind.values()))
     _, hits = disclosing_terms(found.select(F.col(id_col).alias("id"), F.col("__t").alias("text"), "base"), window, alpha, support)
     of_doc = stored(hits.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set("term")).alias("__terms")))
-    if of_doc.count() <= BROADCAST_ROWS:
+    if (of_doc.agg(F.sum(F.size("__terms") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         of_doc = F.broadcast(of_doc)
     out = found.join(of_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     pattern = F.concat(F.lit(f"(?iu)(?<![{_TERM_CHARS}])(?:"), F.array_join("__terms", "|"), F.lit(f")(?![{_TERM_CHARS}])"))
