@@ -21,12 +21,12 @@ BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Rows that meet in one task; larger buckets and families are dealt out as pairs of such blocks.
-BLOCK = 512
+BLOCK = 256
 #: Standard deviations below the threshold at which a sketch still passes a pair on to the full sets.
 MARGIN = 5.0
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORD_CACHE = 300_000
+_WORD_CACHE = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
         return run
 
     fields = [T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
-    signed = stored(with_arrow(base, fields, make).drop("text"))
+    signed = stored(with_arrow(base, fields, make, 2 << 20).drop("text"))
     rep = stored(signed.where("n > 0").groupBy("n", "print").agg(F.min("id").alias("rep")))
     first = signed.select("id", "n", "keys", "sketch").join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
 
