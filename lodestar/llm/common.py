@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
+        own = tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from .common import discard, stored
 
 #: Neighbours from which a node's edges are spread, the tasks they go to, and hubs whose list may be broadcast.
 HUB, HUB_PARTS, MOST_BROADCAST = 50_000, 64, 100_000
+#: Edges of one task of a round.
+EDGES_PER_TASK = 100_000
 
 
 class Forest:
@@ -78,13 +81,15 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     e = stored(e.mapInArrow(_contract, "u long, v long").distinct())
     before = _print(e)
     while before[0]:
+        # a round never adds edges, so their number says how few tasks and files hold them
+        parts = math.ceil(before[0] / EDGES_PER_TASK)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = stored(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n").coalesce(2 * parts))
+        large = stored(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts))
         discard(least)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = stored(small)
+        small = stored(small.coalesce(parts))
         discard(e)
         discard(large)
         e, last, before = small, before, _print(small)
