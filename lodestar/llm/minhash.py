@@ -241,6 +241,9 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id stands for its near-duplicate class; rows with a null id stay."""
+    """The rows of docs, with all their columns, whose id stands for its near-duplicate class.
+
+    Rows with a null id stay; rows that repeat one id are one document and stay or go together.
+    """
     gone = minhash_near_duplicates(docs, percent, size, id_col, text).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

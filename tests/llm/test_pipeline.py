@@ -62,3 +62,31 @@ def test_ids_decode_to_the_texts(steps):
 def test_run_is_the_stages_in_turn(spark, steps):
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect())
     assert got == Counter(r.doc_id for r in steps[5].collect())
+
+
+def odd_documents(spark, empty=False):
+    rows = [
+        (1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (None, "some plain words here", "en", None, 3, "x"), (3, "w " * 40_000, "en", "a", 1, None),
+        (4, "you idiot moron stupid", "en", "b", 1, "x"), (5, "mail me at a.b@mail.example now", None, "b", 1, "x"), (5, "mail me at a.b@mail.example now", None, "b", 1, "x"), (6, "😀 é ß", "de", "", 1, "x"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    df = spark.createDataFrame([] if empty else rows, schema)
+    return df.withColumns({c: df.score for c in ("hits", "base", "more", "size", "copies", "id", "n", "label", "component_id", "kept")})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, tmp_path, stage, empty):
+    spark.createDataFrame([(4, 1, 1), (2, None, None), (99, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents(spark, empty)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    rows = out.collect()
+    assert out.columns[: len(docs.columns)] == docs.columns and (not empty or rows == [])
+    if not empty:
+        ids = [r.doc_id for r in rows]
+        want = {"toxicity": 7, "near_duplicates": 8, "personal_data": 8, "token_ids": 8}.get(stage)
+        assert want in (None, len(ids))
+        if stage == "toxicity":
+            assert 4 not in ids and None in ids
+        if stage == "personal_data":
+            assert [r.text for r in rows if r.doc_id == 5] == ["mail me at [EMAIL] now"] * 2 and [r.text for r in rows if r.doc_id == 1] == [None]
