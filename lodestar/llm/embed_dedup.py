@@ -138,7 +138,9 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_co
     as separate vectors of one id. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)
+    if dict(vectors.dtypes)[vector] != "array<float>":  # single precision stays as it is: half the bytes to move
+        v = v.cast("array<double>")
     fit = F.coalesce(F.col(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.when(fit, v).alias("v"))
     classes = base.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
@@ -156,7 +158,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_co
         def run(batch: pa.RecordBatch) -> list:
             size = np.asarray(batch.column(batch.schema.get_field_index("size")))
             column = batch.column(batch.schema.get_field_index("v"))
-            flat, start = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+            flat, start = column.flatten().to_numpy().astype(float), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
             at = np.zeros((len(size), CELL_AXES))
             for d in np.unique(size):
                 rows = np.flatnonzero(size == d)
