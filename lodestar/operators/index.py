@@ -9,8 +9,6 @@ from ..functions.text import index_tokens, split_words, trigrams
 
 #: Fields in the order of explanations, and their weights in the ranking.
 FIELD_WEIGHTS = {"name": 10.0, "folder": 3.0, "content": 1.0, "extra": 3.0}
-#: Content words taken into the vocabulary for each file.
-NEW_WORDS_PER_FILE = 200
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
@@ -36,14 +34,16 @@ def admitted(word: Column) -> Column:
     return ~word.rlike(r"^\p{Nd}+$") & F.length(word).between(2, 30)
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
+def vocabulary(docs: DataFrame, words_per_text: int | None = None) -> DataFrame:
     """(word, src): words of names, folders and photo places have src 1, words only seen in texts 0.
 
-    Of each text the first NEW_WORDS_PER_FILE distinct words of 4 to 20 letters in alphabetical order count.
+    Of each text all words of 4 to 20 letters count, or the first words_per_text distinct ones in alphabetical order.
     """
     named = docs.select(F.explode(F.array_distinct(F.concat(*[split_words(F.col(f)) for f in ("name", "folder", "extra")]))).alias("word"), F.lit(1).alias("src"))
-    inside = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"\p{L}{4,20}"), F.lit(0))))
-    folded = F.filter(F.array_distinct(F.flatten(F.transform(F.slice(inside, 1, NEW_WORDS_PER_FILE), split_words))), lambda w: F.length(w) >= 2)
+    inside = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(r"\p{L}{4,20}"), F.lit(0)))
+    if words_per_text is not None:
+        inside = F.slice(F.array_sort(inside), 1, words_per_text)
+    folded = F.filter(F.array_distinct(F.flatten(F.transform(inside, split_words))), lambda w: F.length(w) >= 2)
     texts = docs.select(F.explode(folded).alias("word"), F.lit(0).alias("src"))
     return named.union(texts).where(admitted(F.col("word"))).groupBy("word").agg(F.max("src").alias("src"))
 

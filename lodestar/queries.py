@@ -26,6 +26,8 @@ from .streaming import events as stream
 #: 2024-02-01 00:00 UTC, after the last event of the test tables.
 NOW = 1706745600.0
 DAY = 86400.0
+#: Words of each text that the SQL of vocab_build takes; an index takes all.
+SQL_WORDS = 200
 #: Misspelt words of part names.
 TYPOS = ("smal", "wigdet", "galvn", "hamer", "grean", "colt", "blu")
 PLACES = ((52.52, 13.405, "Berlin", "Berlin", "DE"), (48.8566, 2.3522, "Paris", "Île-de-France", "FR"), (-1.2864, 36.8172, "Nairobi", "Nairobi County", "KE"), (69.65, 18.96, "Tromsø", "Troms", "NO"), (52.39, 13.06, "Potsdam", "Brandenburg", "DE"), (-16.8, 179.99, "Labasa", "Northern", "FJ"))
@@ -132,7 +134,7 @@ def root_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary(_docs(spark, sf_dir))
+    return vocabulary(_docs(spark, sf_dir), SQL_WORDS)
 
 
 def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
