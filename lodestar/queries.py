@@ -28,6 +28,8 @@ NOW = 1706745600.0
 DAY = 86400.0
 #: Words of each text that the SQL of vocab_build takes; an index takes all.
 SQL_WORDS = 200
+#: Characters of each text that the SQL reads, as the reference does of a file.
+SQL_CHARS = 20_000
 #: Misspelt words of part names.
 TYPOS = ("smal", "wigdet", "galvn", "hamer", "grean", "colt", "blu")
 PLACES = ((52.52, 13.405, "Berlin", "Berlin", "DE"), (48.8566, 2.3522, "Paris", "Île-de-France", "FR"), (-1.2864, 36.8172, "Nairobi", "Nairobi County", "KE"), (69.65, 18.96, "Tromsø", "Troms", "NO"), (52.39, 13.06, "Potsdam", "Brandenburg", "DE"), (-16.8, 179.99, "Labasa", "Northern", "FJ"))
@@ -46,7 +48,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(_table(spark, sf_dir, "documents"))
+    return corpus(_table(spark, sf_dir, "documents"), SQL_CHARS)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +234,8 @@ def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search with typo and second pass; results by the driver's plan."""
     from .plans.search import search
 
-    index = Index.build(_files(spark, sf_dir), _docs(spark, sf_dir)).persist()
+    files = corpus(_table(spark, sf_dir, "documents"))  # whole texts: no SQL limits them here
+    index = Index.build(files, corpus_docs(files)).persist()
     return search(index, "src3 einschh in DE", NOW, home="/corpus/src3").hits
 
 

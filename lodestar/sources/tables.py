@@ -117,17 +117,18 @@ class Settings:
 EXTENSIONS_OF_CORPUS = ("txt", "md", "pdf", "csv", "jpg")
 
 
-def corpus(documents: DataFrame) -> DataFrame:
+def corpus(documents: DataFrame, most_chars: int | None = None) -> DataFrame:
     """The documents table as files: (id, path, name, folder, ext, kind, is_dir, size, mtime, taken, content).
 
     Extensions take turns, folders follow source and language, photos have been taken thirty days before their change,
-    and the content is the first 20,000 characters, which is what an index reads of a file.
+    and the content is the whole text, or its first most_chars characters.
     """
+    content = F.col("text") if most_chars is None else F.substring("text", 1, most_chars)
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS_OF_CORPUS]), F.pmod("doc_id", F.lit(5)).cast("int") + 1)
     name = F.concat_ws(".", F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string")), ext)
     folder = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("lang"))
     mtime = (F.lit(1704067200) + F.col("doc_id") * 3600).cast("double")
-    out = documents.select(F.col("doc_id").alias("id"), name.alias("name"), folder.alias("folder"), F.col("n_chars").alias("size"), mtime.alias("mtime"), F.substring("text", 1, 20000).alias("content"))
+    out = documents.select(F.col("doc_id").alias("id"), name.alias("name"), folder.alias("folder"), F.col("n_chars").alias("size"), mtime.alias("mtime"), content.alias("content"))
     out = out.withColumns({"path": F.concat("folder", F.lit("/"), "name"), "ext": split_ext(F.col("name")), "is_dir": F.lit(False)})
     out = out.withColumns({"kind": kind_of(F.col("ext"), F.col("is_dir")), "taken": F.when(F.col("ext") == "jpg", F.col("mtime") - 30 * 86400)})
     return out.select("id", "path", "name", "folder", "ext", "kind", "is_dir", "size", "mtime", "taken", "content")
