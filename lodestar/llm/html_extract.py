@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -175,13 +176,13 @@ def _widened(region: int, lines: list[Line], names: dict[int, str]) -> int:
     return region
 
 
-def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5, share: float = 0.7) -> str:
+def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
     """The article's blocks, one per line.
 
     Furniture goes by element, role, class and id. The other lines are scored by text outside links per tag, the
     scores smoothed, and lines above `spread` standard deviations below the mean of their scores form the content
-    clusters. The region is the innermost container with `share` of the clusters' text, or the article around it, or
-    the containers that only add headings; every line in it stays, however short, except lists of links.
+    clusters. The region is the innermost container around all clusters, or the article around it, or the containers
+    that only add headings; every line in it stays, however short, except lists of links.
     """
     lines, names = read_lines(html) if html else ([], {})
     if not lines:
@@ -191,26 +192,21 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5, share:
     weight = np.where(ratio >= ratio.mean() - spread * ratio.std(), own, 0.0)
     if not weight.any():
         weight = own if own.any() else np.array([len(x.text) for x in lines], float)
-    inside: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for x, w in zip(lines, weight, strict=True):
-        for k, number in enumerate(x.path):
-            inside[number] = inside.get(number, 0.0) + w
-            depth[number] = k
     leaves = {x.path[-1] for x in lines if x.path and x.kind in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "pre", "blockquote", "dd", "figcaption")}
-    enough = [n for n, w in inside.items() if w >= share * weight.sum() and n not in leaves]
-    region = _widened(max(enough, key=lambda n: (depth[n], n)), lines, names) if enough else None
+    paths = [x.path for x, w in zip(lines, weight, strict=True) if w > 0]
+    shared = [n for n in os.path.commonprefix(paths) if n not in leaves]
+    region = _widened(shared[-1], lines, names) if shared else None
     kept = [x for x in lines if region is None or region in x.path]
     return "\n".join(x.text for x in kept if not (x.kind == "li" and x.linked >= 0.9 * len(x.text)))
 
 
-def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text", sigma: float = 1.0, spread: float = 0.5, share: float = 0.7) -> DataFrame:
+def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text", sigma: float = 1.0, spread: float = 0.5) -> DataFrame:
     """Append the main text; null and empty pages give an empty text, broken markup is read as far as it goes."""
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
             column = batch.column(batch.schema.get_field_index(html))
-            return [pa.array([main_text(v.as_py(), sigma, spread, share) for v in column], pa.string())]
+            return [pa.array([main_text(v.as_py(), sigma, spread) for v in column], pa.string())]
 
         return run
 

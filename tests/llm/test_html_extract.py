@@ -58,3 +58,14 @@ def test_smoothing_keeps_a_constant():
     import numpy as np
 
     assert np.allclose(smoothed(np.full(7, 3.0), 2.0), 3.0)
+
+
+def test_articles_in_several_blocks_stay_whole():
+    first = [f"Paragraph {k} of the larger part" + " goes on" * n for k, n in enumerate((20, 5, 22, 18, 5, 20))]
+    second = [f"Paragraph {k} of the smaller part" + " goes on" * 16 for k in range(2)]
+    block = lambda tag, texts: f"<{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>"
+    whole = "\n".join(first + second)
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert main_text(f"<body>{nav}<div class=content>{block('div', first)}{block('div', second)}</div><footer>foot</footer></body>") == whole
+    assert main_text(f"<body>{nav}{block('article', first)}{block('article', second)}<footer>foot</footer></body>") == whole
+    assert main_text(f"<body>{nav}<div>{block('section', second)}{block('blockquote', first)}</div></body>") == "\n".join(second + first)
