@@ -105,7 +105,7 @@ def disclosing_terms(found: DataFrame, window: int = 5, alpha: float = 1.25, sup
     before = F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("b.s")), "\n", -1)
     after = F.substring_index(F.substring(F.col("text"), F.col("b.e") + 1, F.length("text")), "\n", 1)
     met = held.select(
-        F.col("b.k").alias("k"), F.col("b.m").alias("m"), F.xxhash64(F.concat(before, F.lit("\0"), after)).alias("line"),
+        F.col("b.k").alias("k"), F.col("b.m").alias("m"), F.xxhash64(F.concat(before, F.col("b.m"), after)).alias("line"),
         F.array_distinct(F.concat(let(terms_of(before), lambda w: F.slice(w, F.greatest(F.size(w) - window + 1, F.lit(1)), window)), F.slice(terms_of(after), 1, window))).alias("terms"),
     )
     met = stored(met)

@@ -88,3 +88,15 @@ def test_sanitised_texts(spark, corpus):
 def test_no_python_in_the_plan(corpus, capsys):
     find_personal_data(corpus).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_entities_of_one_line_count_its_lines_once(spark):
+    """A contact list: a term near several entities of a line stands in as many lines as the list has."""
+    rows = [(k, f"row{k} Zorblatt a@mail.example b@mail.example c@mail.example d@mail.example") for k in range(3)]
+    out = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("Zorblatt" in [r.text[x.s : x.e] for x in r.more] for r in out)
+
+
+def test_repeats_in_one_line_are_no_support(spark):
+    rows = [(k, f"number{k} other{k} words{k}") for k in range(50)] + [(99, "Zorblatt same@mail.example Zorblatt same@mail.example Zorblatt same@mail.example")]
+    assert find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("more") > 0).count() == 0
