@@ -138,18 +138,24 @@ def train_languages(texts: list[str], langs: list[str], buckets: int = 1 << 15,
     return model
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", only: Column | None = None, per_language: int = 400, most_languages: int = 200) -> LanguageModel:
-    """Learn from about per_language whole texts of each of the most_languages most frequent languages, chosen by a hash of the id.
+#: Texts that a language is learnt from, if it has them, however many languages there are.
+LEAST_TEXTS = 20
 
-    Null languages and texts teach nothing. These two bounds are all that is limited; predictions read every text.
+
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", only: Column | None = None, per_language: int = 400, most_texts: int = 80_000) -> LanguageModel:
+    """Learn every language from about per_language of its whole texts, chosen by a hash of the id.
+
+    If that gave more than about most_texts in all, each language has fewer, though not under LEAST_TEXTS. Null
+    languages and texts teach nothing. Nothing else is limited; predictions read every text.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if only is not None:
         known = known.where(only)
-    sizes = known.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(most_languages).collect()
+    sizes = known.groupBy(F.col(lang).alias("__lang")).count().orderBy(F.desc("count"), "__lang").collect()
     if not sizes:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0))
     spark = docs.sparkSession
+    per_language = min(per_language, max(LEAST_TEXTS, most_texts // len(sizes)))
     part = spark.createDataFrame([(r[0], min(_SHARE, int(np.ceil(per_language * _SHARE / r[1])))) for r in sizes], "__lang string, __share long")
     rows = known.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(F.broadcast(part), "__lang")
     rows = rows.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(_SHARE)) < F.col("__share")).select("__id", "__text", "__lang").collect()

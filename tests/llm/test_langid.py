@@ -83,3 +83,10 @@ def test_neighbours_do_not_matter(spark):
     together = [(r.lang_pred, r.score) for r in predict_languages(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1), model).orderBy("k").collect()]
     alone = [(r.lang_pred, r.score) for t in texts for r in predict_languages(spark.createDataFrame([(t,)], "text string"), model).collect()]
     assert [a[0] for a in together] == [a[0] for a in alone] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(together, alone, strict=True))
+
+
+def test_every_language_is_learnt(spark):
+    from lodestar.llm.langid import fit_languages
+
+    rows = [(k, f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}", f"l{k:03}") for k in range(205)]
+    assert len(fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 205
