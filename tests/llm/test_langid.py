@@ -2,10 +2,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import registry
-from lodestar.llm.langid import UNKNOWN, fit_languages, parts_of, predict_languages, subwords, train_languages
+from lodestar.llm.langid import UNKNOWN, fit_languages, predict_languages, subwords, train_languages
 
 ENGLISH, GERMAN = "the house is on the hill and the dog was there", "das haus ist auf dem berg und der hund war dort"
 
@@ -63,10 +64,64 @@ def test_subwords():
     assert same("the cat", "cat, the!") and not same("the cat", "the act")
 
 
-def test_parts_join_to_the_text_and_change_little(monkeypatch):
-    monkeypatch.setattr("lodestar.llm.langid._CHUNK", 16)
-    text = "some words of a text and averyveryverylongwordthatiscutanywhere end"
-    assert "".join(parts_of(text)) == text and max(map(len, parts_of(text))) <= 16
+def plain_subwords(text):
+    """Runs of letters, and pieces of two and three signs around them, one by one."""
+    from collections import Counter
+
+    out, marked = Counter(), f" {text} "
+    letters = [c.isalpha() for c in marked]
+    clean = "".join(c if ok else " " for c, ok in zip(marked, letters, strict=True))
+    for k in range(len(marked) - 1):
+        if letters[k] or letters[k + 1]:
+            out[clean[k : k + 2]] += 1
+        if letters[k]:
+            out["3" + clean[k - 1 : k + 2]] += 1
+    return out + Counter(f"word {w}" for w in clean.split())
+
+
+def test_subwords_are_those_of_brute_force():
+    texts = ["", "the cat", "a1b the the cat, the", "\u00e9t\u00e9 x", "averyveryverylongword that goes on 12", "ab" * 40, "a b c d e"]
+    for text in texts:
+        want, (ids, places) = plain_subwords(text), subwords(text, 1 << 40)
+        assert sorted(np.unique(ids, return_counts=True)[1].tolist()) == sorted(want.values()) and len(ids) == sum(want.values())
+        assert all(text[p - 1].isalpha() for p in places.tolist())
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 16])
+def test_parts_change_nothing(monkeypatch, chunk):
+    texts = ["some words of a text and averyveryverylongwordthatiscutanywhere end", "x", "", "12 34", "\u65e5\u672c\u8a9e " * 5, "ab" * 30]
+    whole = [[np.sort(a) for a in subwords(t, 1 << 20)] for t in texts]
+    monkeypatch.setattr("lodestar.llm.langid._CHUNK", chunk)
+    for t, w in zip(texts, whole, strict=True):
+        assert all(np.array_equal(np.sort(a), b) for a, b in zip(subwords(t, 1 << 20), w, strict=True))
+
+
+def test_a_text_beyond_one_part_scores_as_a_whole(spark):
+    """Without any space: the parts must not make two words of one."""
+    df = spark.createDataFrame([("derhund" * 80_000,), ("und der " * 70_000,)], "text string")
+    cut = [(r.lang_pred, r.score) for r in predict_languages(df.coalesce(1), small()).collect()]
+    model = small()
+    for (lang, score), (text,) in zip(cut, df.collect(), strict=True):
+        ids = subwords(text, model.table.shape[0])[0]
+        z = model.scores(model.table[ids].astype(float).mean(axis=0)) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang == model.languages[int(p.argmax())] and abs(p.max() - score) < 1e-6
+
+
+def test_training_does_not_depend_on_the_hash_seed():
+    import os
+    import subprocess
+    import sys
+
+    code = "import zlib; from lodestar.llm.langid import train_languages as t; m = t(['the house\\nis on the hill\\nand'] * 30 + ['das haus\\nist auf dem\\nberg'] * 30, ['en'] * 30 + ['de'] * 30, buckets=1 << 12); print(zlib.crc32(m.table.tobytes()), m.temperature, m.reject_below)"
+    seen = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": str(k)}, capture_output=True, text=True, check=True, timeout=120).stdout for k in (1, 2, 3)}
+    assert len(seen) == 1
+
+
+def test_learning_texts_are_bounded_and_no_language_is_lost(spark):
+    rows = [(k, f"kurz {k}", "de") for k in range(30)] + [(100 + k, "long " * 50 + str(k), "en") for k in range(30)] + [(7, "kurz 7", "de")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit_languages(docs, most_chars=100).languages == ["de", "en"]
 
 
 def test_many_languages_use_embeddings(spark):
@@ -88,5 +143,9 @@ def test_neighbours_do_not_matter(spark):
 def test_every_language_is_learnt(spark):
     from lodestar.llm.langid import fit_languages
 
-    rows = [(k, f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}", f"l{k:03}") for k in range(205)]
-    assert len(fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 205
+    name = lambda k: "".join(chr(97 + int(d)) * 3 for d in f"{k:03}")
+    rows = [(k * 10 + n, f"{name(k)} q{name(k)} {name(k)}z", f"l{k:03}") for k in range(250) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    answers = {r.lang_pred for r in predict_languages(docs, model).collect()}
+    assert len(model.languages) == 250 and len(answers) == 250
