@@ -134,7 +134,8 @@ def train_languages(texts: list[str], langs: list[str], buckets: int = 1 << 15,
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (buckets, dim))
     w, b = rng.normal(0, 0.1, (dim, len(names))), np.zeros(len(names))
-    learn, hold = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    taught = {r[1] for r in rows if not r[0]}  # a language whose texts would all calibrate learns from them
+    learn, hold = [r for r in rows if not r[0] or r[1] not in taught], [r for r in rows if r[0] and r[1] in taught]
     size = np.bincount([r[1] for r in learn], minlength=max(len(names), 1)) if learn else np.ones(1)
     weight = np.minimum(size.sum() / np.maximum(size, 1) / max(len(names), 1), 10.0)
     steps, done = max(1, epochs * len(learn)), 0
