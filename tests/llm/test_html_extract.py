@@ -1,11 +1,16 @@
 import html as stdlib
+import math
+import random
 import re
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.html_extract import extract_main_text, main_text, smoothed
+from lodestar.llm import html_extract
+from lodestar.llm.html_extract import content_lines, content_region, extract_main_text, main_text, read_page, smoothed, threshold
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
 <nav><a href=x>Home</a></nav><div class="content has-sidebar"><h1>Title &amp; more</h1><p>First paragraph with text enough to be the article, certainly.
@@ -55,8 +60,6 @@ def test_clashing_columns_repeats_and_empty_table(spark):
 
 
 def test_smoothing_keeps_a_constant():
-    import numpy as np
-
     assert np.allclose(smoothed(np.full(7, 3.0), 2.0), 3.0)
 
 
@@ -69,3 +72,113 @@ def test_articles_in_several_blocks_stay_whole():
     assert main_text(f"<body>{nav}<div class=content>{block('div', first)}{block('div', second)}</div><footer>foot</footer></body>") == whole
     assert main_text(f"<body>{nav}{block('article', first)}{block('article', second)}<footer>foot</footer></body>") == whole
     assert main_text(f"<body>{nav}<div>{block('section', second)}{block('blockquote', first)}</div></body>") == "\n".join(second + first)
+
+
+def test_link_lists_of_an_article_stay():
+    links = "<ul><li><a href=x>A first source of the article</a></li><li><a href=y>Another</a></li></ul>"
+    want = "Text of an article that is long enough to be one.\nA first source of the article\nAnother"
+    assert main_text(f"<body><article><p>Text of an article that is long enough to be one.</p>{links}</article></body>") == want
+    assert main_text(f"<body><div><p>Text of an article that is long enough to be one.</p>{links}</div></body>") == want
+
+
+UNNAMED = """<body><div><a href=1>Start</a> <a href=2>News</a> <a href=3>More of it</a></div><div><span>12 May</span><span>Log in</span></div>
+<div><h2>The title</h2><p>A first paragraph that is long, as the paragraphs of articles are, and that goes on for a while.</p><p>Short one.</p>
+<p>Another paragraph that is long, as the paragraphs of articles are, and that goes on for a while.</p></div>
+<div><p><b>Read</b> <i>also</i> <a href=4>this thing</a></p><p><a href=5>that thing</a></p></div><div><span>2024</span> <span>imprint</span></div></body>"""
+
+
+def test_ratios_decide_where_nothing_has_a_name(monkeypatch):
+    want = "The title\nA first paragraph that is long, as the paragraphs of articles are, and that goes on for a while.\nShort one.\nAnother paragraph that is long, as the paragraphs of articles are, and that goes on for a while."
+    assert main_text(UNNAMED) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda values, sigma: np.ones(len(values)))
+    assert main_text(UNNAMED) != want
+
+
+@pytest.mark.parametrize("html", ["<div>word " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<li>" + "<b>" * 30_000 + "<p>x" * 30_000, "<div>" * 30_000 + "</section>" * 30_000])
+def test_time_is_linear(html):
+    began = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - began < 20
+
+
+def tree(rng, depth=0):
+    """A random page: (html, lines), a line being (text, path of containers, element, linked)."""
+    out, lines = [], []
+    for _ in range(rng.randint(1, 4)):
+        if depth < 3 and rng.random() < 0.45:
+            tag = rng.choice(["div", "section", "ul", "blockquote"] + ["article"] * (rng.random() < 0.2))
+            inner, below = tree(rng, depth + 1)
+            name = (tag, rng.random())
+            out.append(f"<{tag}>{inner}</{tag}>")
+            lines += [(t, (name, *p), e, m) for t, p, e, m in below]
+        else:
+            text, tag, linked = " ".join("abcdefgh"[: rng.randint(1, 8)] for _ in range(rng.choice([1, 2, 4, 30]))), rng.choice(["p", "p", "h2"]), rng.random() < 0.25
+            out.append(f"<{tag}><a href=x>{text}</a></{tag}>" if linked else f"<{tag}>{text}</{tag}>")
+            lines.append((text, (), tag, linked))
+    return "".join(out), lines
+
+
+def brute_smooth(ratio):
+    kernel = [math.exp(-0.5 * k * k) for k in range(-3, 4)]
+    at = lambda k: ratio[min(max(k, 0), len(ratio) - 1)]
+    return [sum(w * at(k + d) for d, w in zip(range(-3, 4), kernel, strict=True)) / sum(kernel) for k in range(len(ratio))]
+
+
+def brute_region(lines, content):
+    """Which lines stay, by comparing the paths of all lines with each other."""
+    n = len(lines)
+    paths = [p for _, p, _, _ in lines]
+    inner = [next((p[: k + 1] for k in range(len(p) - 1, -1, -1) if p[k][0] == "article"), None) for p in paths]
+    mass = sum(len(lines[i][0]) for i in range(n) if content[i])
+    if 2 * sum(len(lines[i][0]) for i in range(n) if content[i] and inner[i]) >= mass:
+        chosen = {inner[i] for i in range(n) if content[i] and inner[i]}
+        return [any(paths[i][: len(c)] == c for c in chosen) for i in range(n)]
+    own = {paths[i] for i in range(n) if content[i]}
+    region = min(own, key=len)
+    while not all(c[: len(region)] == region for c in own):
+        region = region[:-1]
+    first, last = min(i for i in range(n) if content[i]), max(i for i in range(n) if content[i])
+    keep = []
+    for i, (_, p, e, _) in enumerate(lines):
+        if p[: len(region)] != region:
+            keep.append(False)
+            continue
+        idle = next((p[:k] for k in range(len(region), len(p) + 1) if not any(c[:k] == p[:k] for c in own)), None)
+        if idle is None:
+            keep.append(p in own or e == "h2")
+            continue
+        part = [x for x in lines if x[1][: len(idle)] == idle]
+        mostly_linked = 2 * sum(len(x[0]) for x in part if x[3]) >= sum(len(x[0]) for x in part)
+        keep.append((idle[:-1] in own or first < i < last) if not mostly_linked else idle[:-1] in own and idle[-1][0] == "ul")
+    k = keep.index(True)
+    while k and lines[k - 1][2] == "h2":
+        k -= 1
+        keep[k] = True
+    return keep
+
+
+def test_is_the_brute_force_result():
+    rng, seen = random.Random(5), set()
+    for _ in range(1500):
+        html, lines = tree(rng)
+        page = read_page(html)
+        assert [x.text for x in page.lines] == [t for t, *_ in lines]
+        tags = np.array([x.tags for x in page.lines])
+        own = np.array([0.0 if m else len(t) for t, _, _, m in lines])
+        plain = brute_smooth((own / np.maximum(tags, 1)).tolist())
+        assert np.allclose(plain, smoothed(own / np.maximum(tags, 1)))
+        content = content_lines(page)
+        cut = threshold(np.array(plain))
+        passed = [s >= cut and o > 0 and 2 * o >= len(t) for s, o, (t, *_) in zip(plain, own, lines, strict=True)]
+        together = [sum(o for o, q in zip(own, lines, strict=True) if q[1] == p) / sum(g for g, q in zip(tags, lines, strict=True) if q[1] == p) for _, p, *_ in lines]
+        both = [a and b >= cut for a, b in zip(passed, together, strict=True)]
+        assert content.tolist() == (both if any(both) else passed if any(passed) else [True] * len(lines))
+        want = brute_region(lines, content)
+        assert content_region(page, content).tolist() == want
+        seen.add((any(want), all(want)))
+    assert len(seen) == 2
+
+
+def test_thresholds_part_two_clusters():
+    for scores, high in (([5.0, 5.0], 2), ([0.0, 1.0, 80.0, 90.0], 2), ([0.0], 1), ([3.0, 100.0, 100.0, 100.0], 3), ([0.0, 0.0, 20.0, 100.0, 120.0, 90.0], 3)):
+        assert sum(s >= threshold(np.array(scores)) for s in scores) == high
