@@ -55,3 +55,15 @@ def test_empty_table(docs):
 def test_no_python_in_the_plan(docs, capsys):
     quality_verdicts(docs).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_the_order_is_that_of_brute_force_and_stays(docs):
+    """Share rejected over mean work, both counted by hand over all rows (the sample holds them all)."""
+    rules = (Rule("long", lambda m, t: F.length(t) > 100, lambda m, t: F.length(t) * 1.0), Rule("few", lambda m, t: m["n_words"] < 10), Rule("no", lambda m, t: F.lit(False), lambda m, t: F.lit(5.0)), Rule("none", lambda m, t: F.lit(False)))
+    size = [len(t or "") for t in TEXTS]
+    want = {"long": sum(s > 100 for s in size) / len(size) / (sum(size) / len(size)), "few": sum(brute(t)[0] < 10 for t in TEXTS) / len(size), "no": 0, "none": 0}
+    found = [order_rules(measures(docs.repartition(k)), rules) for k in (1, 3, 5)]
+    assert all([r.rule.name for r in f] == ["few", "long", "none", "no"] for f in found)
+    assert all(abs(r.rejected / max(r.cost, 1e-6) - want[r.rule.name]) < 1e-9 for f in found for r in f)
+    names = {tuple(r.rule.name for r in order_rules(measures(docs.repartition(k)))) for k in (1, 3, 5)}
+    assert len(names) == 1
