@@ -18,7 +18,7 @@ from .mixing import mix_sources
 from .pii import PATTERNS, find_personal_data, span_text
 from .quality import quality_verdicts
 from .toxicity import fit_toxicity, score_toxicity
-from .urls import filter_urls
+from .urls import filter_urls, url_host
 
 #: Vocabulary of the encoder; its path is a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,9 +61,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block list is the mobile mirrors among the corpus's hosts."""
+    """The block list is a table of keys: the mobile mirrors that the corpus met."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, F.col("host").startswith("m.")).select("page_id", "host", "path", "rule", "verdict")
+    mirrors = pages.select(url_host(F.col("url")).alias("host")).where(F.col("host").startswith("m.")).distinct()
+    return filter_urls(pages, mirrors).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

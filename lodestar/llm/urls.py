@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_arrow
+from .common import discard, stored, with_arrow
 
 #: (verdict, host, path prefix); a rule fits its host and all hosts below it.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -77,8 +77,11 @@ class Bloom:
 
 
 def build_cascade(listed: np.ndarray, others: np.ndarray, first: float = 0.1, later: float = 0.5) -> list[Bloom]:
-    """Levels that tell listed hashes from others: each level holds what the level before would get wrong."""
-    levels, inside, outside = [], np.unique(listed), np.unique(others)
+    """Levels that tell listed hashes from others: each level holds what the level before would get wrong.
+
+    A hash that is both listed and not counts as listed; no level could part it from itself.
+    """
+    levels, inside, outside = [], np.unique(listed), np.setdiff1d(others, listed)
     while len(inside) or not levels:
         levels.append(Bloom.of(inside, len(levels), first if not levels else later))
         inside, outside = outside[levels[-1].has(outside)], inside
@@ -94,40 +97,50 @@ def in_cascade(levels: list[Bloom], keys: np.ndarray) -> np.ndarray:
     return verdict
 
 
-def hashed(keys) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
+def hashed(keys, seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in keys), np.uint64)
 
 
-_LEVEL = "shard int, level int, size long, probes int, bits binary"
+_LEVEL = "shard int, level int, size long, probes int, bits binary, seed int"
 
 
 def cascade_filters(universe: DataFrame, key: str = "key", listed: str = "listed") -> tuple[DataFrame, int]:
-    """Filter levels per shard of a universe with one row per key, and the number of shards. Null keys are left out."""
-    known = universe.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(listed), F.lit(False)).alias("listed"))
+    """Filter levels per shard of a universe of keys, and the number of shards.
+
+    A key that stands in several rows is listed if one of them says so; null keys are left out. Shards whose listed and
+    other keys share a hash take another seed, so that membership is exact.
+    """
+    known = universe.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.max(F.coalesce(F.col(listed), F.lit(False))).alias("listed"))
+    known = stored(known)
     shards = max(1, math.ceil(known.count() / SHARD_KEYS))
 
     def build(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, inside = hashed(rows["key"]), rows["listed"].to_numpy(bool)
+        inside, seed = rows["listed"].to_numpy(bool), 0
+        while len(np.intersect1d((keys := hashed(rows["key"], seed))[inside], keys[~inside])):
+            seed += 1
         levels = build_cascade(keys[inside], keys[~inside])
-        return pd.DataFrame({"shard": shard[0], "level": range(len(levels)), "size": [x.size for x in levels], "probes": [x.probes for x in levels], "bits": [x.bits.tobytes() for x in levels]})
+        return pd.DataFrame({"shard": shard[0], "level": range(len(levels)), "size": [x.size for x in levels], "probes": [x.probes for x in levels], "bits": [x.bits.tobytes() for x in levels], "seed": seed})
 
     sharded = known.withColumn("shard", _shard(F.col("key"), shards))
-    return stored(sharded.groupBy("shard").applyInPandas(build, _LEVEL)), shards
+    filters = stored(sharded.groupBy("shard").applyInPandas(build, _LEVEL))
+    discard(known)
+    return filters, shards
 
 
 def _shard(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(42)), F.lit(shards)).cast("int")
 
 
-def _levels(rows) -> dict[int, list[Bloom]]:
-    out: dict[int, list[Bloom]] = {}
+def _levels(rows) -> dict[int, tuple[int, list[Bloom]]]:
+    """Seed and filters of each shard."""
+    out: dict[int, tuple[int, list[Bloom]]] = {}
     for r in sorted(rows, key=lambda r: (r["shard"], r["level"])):
-        out.setdefault(r["shard"], []).append(Bloom(np.frombuffer(r["bits"], np.uint8), r["size"], r["probes"], r["level"]))
+        out.setdefault(r["shard"], (r["seed"], []))[1].append(Bloom(np.frombuffer(r["bits"], np.uint8), r["size"], r["probes"], r["level"]))
     return out
 
 
 def mark_listed(rows: DataFrame, key: str, universe: DataFrame, out: str = "listed") -> DataFrame:
-    """Append whether each row's key is listed in universe(key, listed), which holds every key of rows once.
+    """Append whether each row's key is listed in universe(key, listed), which holds every key of rows.
 
     Exact for those keys (levels go on until nothing is wrong); null keys are not listed. The filters are broadcast
     while they stay within BROADCAST_BYTES; a larger list is settled per distinct key, shard by shard.
@@ -136,8 +149,8 @@ def mark_listed(rows: DataFrame, key: str, universe: DataFrame, out: str = "list
     total = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
     if total > BROADCAST_BYTES:
         def settle(shard: tuple, keys: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-            mine = _levels(levels.to_dict("records")).get(shard[0], [])
-            return pd.DataFrame({"key": keys["key"], out: in_cascade(mine, hashed(keys["key"]))})
+            seed, mine = _levels(levels.to_dict("records")).get(shard[0], (0, []))
+            return pd.DataFrame({"key": keys["key"], out: in_cascade(mine, hashed(keys["key"], seed))})
 
         keys = universe.where(F.col("key").isNotNull()).select(F.col("key").cast("string").alias("key")).distinct().withColumn("shard", _shard(F.col("key"), shards))
         verdicts = keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(settle, f"key string, {out} boolean")
@@ -154,10 +167,10 @@ def mark_listed(rows: DataFrame, key: str, universe: DataFrame, out: str = "list
             at = column.indices.to_numpy(zero_copy_only=False)
             verdict = np.zeros(batch.num_rows, bool)
             there = np.asarray(column.is_valid())
-            hashes = hashed(n or "" for n in names)
-            for s, cascade in levels.items():
+            hashes = {seed: hashed((n or "" for n in names), seed) for seed in {seed for seed, _ in levels.values()}}
+            for s, (seed, cascade) in levels.items():
                 here = np.flatnonzero(there & (shard == s))
-                verdict[here] = in_cascade(cascade, hashes[at[here].astype(np.int64)])
+                verdict[here] = in_cascade(cascade, hashes[seed][at[here].astype(np.int64)])
             return [pa.array(verdict)]
 
         return run
@@ -166,17 +179,20 @@ def mark_listed(rows: DataFrame, key: str, universe: DataFrame, out: str = "list
     return with_arrow(sharded, [T.StructField(out, T.BooleanType())], make).drop("__shard")
 
 
-def filter_urls(pages: DataFrame, listed_host: Column, url: str = "url", rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, block_list: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Append host, path, rule and verdict to pages.
 
-    The longest rule that fits decides. Where none fits, the verdict is block for the listed hosts, allow for others;
-    listed_host is the list, as a condition on a column `host` of the distinct hosts of these pages, which are the
-    universe of the filters. Null urls and urls without :// have an empty host and path. Columns of these names are replaced.
+    The longest rule that fits decides. Where none fits, the verdict is block for hosts on block_list(host), allow for
+    others. The distinct hosts of these pages are the universe of the filters; listed hosts that no page has are left
+    out, repeated and null ones are harmless. Null urls and urls without :// have an empty host and path. Columns of
+    these names are replaced.
     """
     own = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in own]
     parsed = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    universe = stored(parsed.select("host").distinct().select(F.col("host").alias("key"), F.coalesce(listed_host, F.lit(False)).alias("listed")))
+    # one aggregation sets both apart: hosts of pages, and of these the listed
+    sides = parsed.select("host", F.lit(True).alias("met"), F.lit(False).alias("listed")).union(block_list.select("host", F.lit(False), F.lit(True)))
+    universe = stored(sides.groupBy(F.col("host").alias("key")).agg(F.max("met").alias("met"), F.max("listed").alias("listed")).where("met").drop("met"))
     marked = mark_listed(parsed, "host", universe, "__listed")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     return marked.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))

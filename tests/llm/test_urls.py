@@ -25,11 +25,12 @@ CASES = {
 
 def test_hosts_paths_rules_and_verdicts(spark):
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(CASES)] * 2, "page_id long, url string, host string")
-    out = filter_urls(df, F.col("host").startswith("m.")).collect()
+    listed = spark.createDataFrame([("m.net",), ("m.net",), (None,), ("m.nowhere",), ("a.com.",)], "host string")
+    out = filter_urls(df, listed).collect()
     assert len(out) == 2 * len(CASES)
     for r in out:
         assert (r.host, r.path, r.rule, r.verdict) == CASES[r.url]
-    assert filter_urls(df.limit(0), F.lit(True)).count() == 0
+    assert filter_urls(df.limit(0), listed).count() == 0 and filter_urls(df, listed.limit(0)).where("host = 'm.net' and verdict = 'block'").count() == 0
 
 
 def test_cascades_are_exact():
@@ -47,3 +48,21 @@ def test_membership_is_exact_by_each_way(spark, monkeypatch, shard, most):
     rows = spark.range(300).select("id", F.when(F.col("id") < 290, F.concat(F.lit("h"), F.col("id") % 100)).alias("k"))
     for r in mark_listed(rows, "k", universe).collect():
         assert r.listed == (r.k is not None and int(r.k[1:]) % 3 == 0)
+
+
+def test_conflicting_keys_end_and_count_as_listed(spark):
+    for inside, outside in (([1, 2], [2, 3]), ([5], [5]), ([], [1]), ([], []), (list(range(500)), list(range(250, 900)))):
+        a, b = np.array(inside, np.uint64), np.array(outside, np.uint64)
+        both = np.union1d(a, b)
+        assert np.array_equal(in_cascade(build_cascade(a, b), both), np.isin(both, a))
+    universe = spark.createDataFrame([("x", True), ("x", False), ("y", False), ("y", None), (None, True)], "key string, listed boolean")
+    assert {r.key: r.listed for r in mark_listed(universe.select("key").distinct(), "key", universe).collect()} == {"x": True, "y": False, None: False}
+
+
+def test_shared_hashes_take_another_seed(spark, monkeypatch):
+    """With 4-bit hashes, listed and other keys collide under most seeds."""
+    from lodestar.llm import urls
+
+    monkeypatch.setattr(urls, "hashed", lambda keys, seed=0: hashed(keys, seed) & np.uint64(15))
+    universe = spark.createDataFrame([(f"k{n}", n < 2) for n in range(5)], "key string, listed boolean")
+    assert {r.key for r in mark_listed(universe.select("key"), "key", universe).collect() if r.listed} == {"k0", "k1"}
