@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,34 +18,64 @@ SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
 
 
+_own_dir: list[str] = []
+_tables: dict[str, None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session has a folder of its own until the process ends; on a cluster this is an error,
+    because the parts of a table in a local folder would lie on different machines.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        own = tempfile.mkdtemp(prefix="lodestar-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="lodestar-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return f"file://{_own_dir[0]}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
+    _tables[path] = None
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.pop(path, None)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_lodestar_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def stored_tables() -> set[str]:
+    """Folders of the tables that this process stored and nothing has deleted."""
+    return set(_tables)
+
+
+def cleanup(spark: SparkSession, but: Iterable[str | DataFrame] = ()) -> None:
+    """Delete all tables that stored() wrote but these (folders, or tables as stored() returned them).
+
+    For when the results that read them have been read themselves: an operator's result is lazy and may need them.
+    """
+    left = {getattr(b, "_lodestar_path", b) for b in but}
+    for path in stored_tables() - left:
+        _delete(spark, path)
 
 
 def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], most: int = 8 << 20) -> DataFrame:
