@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.bpe import bpe_encode
-from lodestar.llm.common import stored
+from lodestar.llm.common import cleanup, stored, stored_tables
 from lodestar.llm.minhash import drop_near_duplicates
 from lodestar.llm.mixing import mixed_rows
 from lodestar.llm.pii import without_personal_data
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's table replaces what the stages before it left in the shared folder; the last one reads the fourth."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_tables()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        cleanup(spark, [docs, *before])
     return STAGES[-1][1](spark, docs, sf_dir)
