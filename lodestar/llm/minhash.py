@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,10 @@ from .components import Forest, connected_components
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Rows that meet in one task; larger buckets and families are dealt out as pairs of such blocks.
+#: Rows of a block; where more rows have to be compared, pairs of such blocks meet.
 BLOCK = 256
+#: Members of a bucket that are compared with its first member in one place.
+PART = 4096
 #: Standard deviations below the threshold at which a sketch still passes a pair on to the full sets.
 MARGIN = 5.0
 
@@ -121,66 +122,175 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _in_blocks(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Deal each group of rows to tasks (i, j), i <= j, of its blocks i and j; groups of one row go."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__c", F.ceil(F.col("__n") / BLOCK).cast("int"))
-    dealt = df.join(sizes, keys).withColumn("__b", F.pmod(F.xxhash64(id_col, F.lit(77)), F.col("__c")).cast("int"))
-    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))
-    dealt = dealt.select(*keys, F.least("__b", "__o").alias("__i"), F.greatest("__b", "__o").alias("__j"), F.col("__b"), *[c for c in df.columns if c not in keys])
-    by = [*keys, "__i", "__j"]
-    return dealt.repartition(n_partitions(df.sparkSession), *by).sortWithinPartitions(*by, id_col)
+class _Edges:
+    """Pairs of ids, handed on in batches."""
+
+    def __init__(self) -> None:
+        self.u: list[int] = []
+        self.v: list[int] = []
+
+    def add(self, u: int, v: int) -> None:
+        self.u.append(u), self.v.append(v)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.v, pa.int64())], names=["u", "v"])
+        self.u, self.v = [], []
+        return out
+
+    def ready(self) -> Iterator[pa.RecordBatch]:
+        if len(self.u) >= 10_000:
+            yield self.batch()
+
+
+def _dealt(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+    return df.repartition(n_partitions(df.sparkSession), *by).sortWithinPartitions(*by, *order)
+
+
+def _stars(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Parts of each group of two rows or more, the group's row of least id leading each part; sorted by part."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__first")).where("__n > 1").withColumn("__c", F.ceil(F.col("__n") / most).cast("int"))
+    every = F.sequence(F.lit(0), F.col("__c") - 1)
+    parts = F.when(F.col("id") == F.col("__first"), every).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(78)), F.col("__c")).cast("int")))
+    out = df.join(sizes, keys).withColumn("__part", F.explode(parts))
+    return _dealt(out.select(*keys, "__part", *[c for c in df.columns if c not in keys]), [*keys, "__part"], "id")
+
+
+def _near_first(most: int, ratio: float):
+    """Of each part of (key, step, part, id, n, sketch), the pairs with its first row whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Edges()
+        for rows in _groups(batches, 3):
+            if len(rows) < 2:
+                continue
+            bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+            n = np.array([r[4] for r in rows], float)
+            near = (np.bitwise_count(bits[1:] ^ bits[0]).sum(axis=1) <= most) & (np.minimum(n[1:], n[0]) >= ratio * np.maximum(n[1:], n[0]))
+            for k in np.flatnonzero(near) + 1:
+                out.add(rows[0][3], rows[k][3])
+            yield from out.ready()
+        yield out.batch()
+
+    return run
+
+
+def _linked_first(percent: int):
+    """Of each part of (first, part, role, id, set), the pairs with the set of role 0 that the full sets confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, mark, lead = _Edges(), None, None
+        for batch in batches:
+            for first, part, role, i, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(packed, np.uint64)
+                if role == 0:
+                    mark, lead = (first, part), own
+                elif (first, part) == mark and 100 * (both := _common(lead, own)) >= percent * (len(lead) + len(own) - both):
+                    out.add(first, i)
+            yield from out.ready()
+        yield out.batch()
+
+    return run
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
+
+
+def _open_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal the rows (keys, id, component, ...) of each group that holds several components to tiles of two blocks.
+
+    Pairs of one component need no comparing. A group's largest component is one side, all other rows the other: others
+    meet each other and the largest, whose own rows never meet. Tile columns: kind (0 others, 1 with the largest), i, j
+    (blocks), b (the row's own block), big.
+    """
+    per = df.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("several"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("several > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select(*keys, F.col("top.component").alias("__top"), blocks(F.col("all") - F.col("top.n")).alias("__s"), blocks(F.col("top.n")).alias("__l"))
+    out = df.join(sizes, keys).withColumn("__big", F.col("component") == F.col("__top"))
+    out = out.withColumn("__b", F.pmod(F.xxhash64("id", F.lit(77)), F.when(F.col("__big"), F.col("__l")).otherwise(F.col("__s"))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    b = F.col("__b")
+    large = F.transform(to(F.col("__s")), lambda i: tile(1, i, b))
+    small = F.concat(F.transform(to(F.col("__s")), lambda o: tile(0, F.least(b, o), F.greatest(b, o))), F.transform(to(F.col("__l")), lambda k: tile(1, b, k)))
+    out = out.withColumn("__t", F.explode(F.when(F.col("__big"), large).otherwise(small)))
+    kept = [c for c in df.columns if c not in [*keys, "id", "component"]]
+    out = out.select(*keys, F.col("__t.kind").alias("__kind"), F.col("__t.i").alias("__i"), F.col("__t.j").alias("__j"), F.col("__b"), F.col("__big"), "id", "component", *kept)
+    return _dealt(out, [*keys, "__kind", "__i", "__j"], "id")
+
+
+def _sides(rows: list[tuple], keys: int) -> tuple[list[tuple], list[tuple]]:
+    """The two sides of a tile; the same list twice where a block meets itself."""
+    kind, i, j = rows[0][keys : keys + 3]
+    if kind == 1:
+        return [r for r in rows if not r[keys + 4]], [r for r in rows if r[keys + 4]]
+    if i == j:
+        return rows, rows
+    return [r for r in rows if r[keys + 3] == i], [r for r in rows if r[keys + 3] == j]
 
 
 def _alike(most: int, ratio: float):
-    """Of each dealt block pair, a forest of the pairs whose sizes and sketches allow a link."""
+    """Of each tile, a forest of the pairs of different components whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
-        for rows in _groups(batches, 4):
-            f, many = Forest(), len(rows) > 24
-            if many:
-                bits = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
-                n = np.array([r[6] for r in rows], float)
-                for k in range(len(rows) - 1):
-                    differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(axis=1)
-                    near = (differ <= most) & (np.minimum(n[k + 1 :], n[k]) >= ratio * np.maximum(n[k + 1 :], n[k]))
-                    for m in np.flatnonzero(near) + k + 1:
-                        if f.join(rows[k][5], rows[m][5]):
-                            u.append(rows[k][5]), v.append(rows[m][5])
-            else:
-                ints = [(r[5], r[6], int.from_bytes(r[7], "little")) for r in rows]
-                for (a, n, x), (b, m, y) in combinations(ints, 2):
-                    if min(n, m) >= ratio * max(n, m) and (x ^ y).bit_count() <= most and f.join(a, b):
-                        u.append(a), v.append(b)
-            if len(u) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-                u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        out = _Edges()
+        for rows in _groups(batches, 5):
+            left, right = _sides(rows, 2)
+            if not left or not right:
+                continue
+            f, same = Forest(), left is right
+            bits = np.frombuffer(b"".join(r[10] for r in right), np.uint64).reshape(len(right), -1)
+            n, component = np.array([r[9] for r in right], float), np.array([r[8] for r in right])
+            for k, row in enumerate(left):
+                start = k + 1 if same else 0
+                own = np.frombuffer(row[10], np.uint64)
+                differ = np.bitwise_count(bits[start:] ^ own).sum(axis=1)
+                near = (differ <= most) & (np.minimum(n[start:], row[9]) >= ratio * np.maximum(n[start:], row[9])) & (component[start:] != row[8])
+                for m in np.flatnonzero(near) + start:
+                    if f.join(row[7], right[m][7]):
+                        out.add(row[7], right[m][7])
+            yield from out.ready()
+        yield out.batch()
 
     return run
 
 
-def _linked(percent: int, size: int):
-    """Of each dealt block pair of a family, a forest of the pairs that the full sets confirm."""
+def _linked(percent: int):
+    """Of each tile of a family, a forest of the pairs of different components that the full sets confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, u, v = Shingler(size), [], []
-        for rows in _groups(batches, 3):
-            f, ids = Forest(), [r[4] for r in rows]
-            sets = [shingles(r[5]) for r in rows]
-            n = np.array([len(s) for s in sets])
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            name = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            mark = np.zeros(name.max() + 1, np.int32)
-            for k in range(len(rows) - 1):
-                own = name[start[k] : start[k] + n[k]]
-                mark[own] = 1
-                both = np.add.reduceat(mark[name[start[k + 1] :]], start[k + 1 :] - start[k + 1])
-                mark[own] = 0
-                for m in np.flatnonzero(100 * both >= percent * (n[k] + n[k + 1 :] - both)) + k + 1:
-                    if f.join(ids[k], ids[m]):
-                        u.append(ids[k]), v.append(ids[m])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        out = _Edges()
+        for rows in _groups(batches, 4):
+            left, right = _sides(rows, 1)
+            if not left or not right:
+                continue
+            f, same = Forest(), left is right
+            sets = [np.frombuffer(r[8], np.uint64) for r in right]
+            n, component = np.array([len(s) for s in sets]), np.array([r[7] for r in right])
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            every, name = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(every), np.int32)
+            for k, row in enumerate(left):
+                own = np.frombuffer(row[8], np.uint64)
+                at = np.searchsorted(every, own)
+                at[at == len(every)] = 0
+                at = at[every[at] == own]
+                start = k + 1 if same else 0
+                if start == len(right):
+                    break
+                mark[at] = 1
+                both = np.add.reduceat(mark[name[begin[start] :]], begin[start:] - begin[start])
+                mark[at] = 0
+                near = (100 * both >= percent * (len(own) + n[start:] - both)) & (component[start:] != row[7])
+                for m in np.flatnonzero(near) + start:
+                    if f.join(row[6], right[m][6]):
+                        out.add(row[6], right[m][6])
+            yield from out.ready()
+        yield out.batch()
 
     return run
 
@@ -189,16 +299,21 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
     """(id, n_shingles, component_id, kept) for every row: texts linked at 100 * intersection >= percent * union.
 
     1. Each text gets its set's print, band keys and odd sketch; equal sets collapse into their smallest id.
-    2. Sets that share a band and are of compatible size meet in blocks; those whose sketches differ in few
-       bits form candidate families. Blocks return spanning forests, never all pairs.
-    3. Within a family the full sets are compared pair by pair, again in blocks, and links joined up.
+    2. Sets that share a band and are of compatible size form a bucket. Each member is compared with the bucket's first:
+       by sketch, and if that allows a link, by full sets. Large groups of near copies join up here, one comparison a
+       member.
+    3. In buckets that still hold several components, rows of different components meet in blocks, by sketch; what may
+       link forms families, whose rows of different components are compared by full sets. Blocks return spanning
+       forests, never all pairs.
     A text that shares no band with a linked one is missed with the probability given at BANDS; nothing else is.
-    Null, empty and blank texts have size 0, stay alone and are kept. Rows that repeat an id stand for their first set.
+    Null, empty and blank texts have size 0, stay alone and are kept. Ids are integers (cast to long; what can't be cast
+    fails or becomes null by the session's rule). Rows that repeat an id go each with its own text's class; if several
+    texts have that id as their smallest, the one of least print stands for all of them.
     """
-    spark = docs.sparkSession
+    spark, ratio, most = docs.sparkSession, percent / 100, most_differing(percent / 100)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
-    def make():
+    def make_signed():
         shingles, sign = Shingler(size), Signer()
 
         def run(batch: pa.RecordBatch) -> list:
@@ -210,15 +325,30 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
                     prints.append(None), keys.append(None), sketches.append(None)
                     continue
                 k, sketch = sign(s)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes())), keys.append(k), sketches.append(sketch)
+                prints.append(_print(s)), keys.append(k), sketches.append(sketch)
             return [pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
 
         return run
 
+    def make_sets():
+        shingles = Shingler(size)
+
+        def run(batch: pa.RecordBatch) -> list:
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            return [pa.array([_print(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+
+        return run
+
     fields = [T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
-    signed = stored(with_arrow(base, fields, make, 2 << 20).drop("text"))
+    signed = stored(with_arrow(base, fields, make_signed, 2 << 20).drop("text"))
     rep = stored(signed.where("n > 0").groupBy("n", "print").agg(F.min("id").alias("rep")))
-    first = signed.select("id", "n", "keys", "sketch").join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    stands = rep.groupBy(F.col("rep").alias("id")).agg(F.min("print").alias("print"))  # one text per id
+    first = signed.select("id", "n", "print", "keys", "sketch").join(stands, ["id", "print"], "left_semi").dropDuplicates(["id"]).drop("print")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, set) of these ids' texts, those that stand for them."""
+        made = with_arrow(base.join(ids, "id", "left_semi"), [T.StructField("print", T.BinaryType()), T.StructField("set", T.BinaryType())], make_sets, 2 << 20).drop("text")
+        return stored(made.join(stands.join(ids, "id", "left_semi"), ["id", "print"], "left_semi").dropDuplicates(["id"]).drop("print"))
 
     bands = first.select("id", "n", F.explode("keys").alias("key")).repartition(n_partitions(spark), "key")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -227,19 +357,39 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
     step = F.floor(F.log("n") / F.lit(scale)).cast("int")
     met = bands.join(shared, "key").select("key", F.explode(F.array(step, step + 1)).alias("step"), "id")
     sketched = stored(met.join(first.select("id", "n", "sketch"), "id").select("key", "step", "id", "n", "sketch"))
-    pairs = _in_blocks(sketched, ["key", "step"], "id").mapInArrow(_alike(most_differing(percent / 100), percent / 100), "u long, v long")
-    family = stored(connected_components(pairs.distinct()))
 
-    sets = base.join(family, "id").select(F.col("component_id").alias("family"), "id", "text").dropDuplicates(["id"])
-    links = _in_blocks(sets, ["family"], "id").mapInArrow(_linked(percent, size), "u long, v long")
-    joined = stored(connected_components(links.distinct()))
+    stars = stored(_stars(sketched, ["key", "step"], PART).mapInArrow(_near_first(most, ratio), "u long, v long").distinct())
+    in_stars = stars.select(F.col("v").alias("id")).union(stars.select("u")).distinct()
+    sets = sets_of(in_stars)
+    parts = stars.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("c"))
+    members = stars.join(parts, "u").join(sets, F.col("v") == F.col("id")).select("u", F.pmod(F.xxhash64("v", F.lit(79)), F.col("c")).cast("int").alias("part"), F.lit(1).alias("role"), "id", "set")
+    firsts = parts.join(sets, F.col("u") == F.col("id")).select("u", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("part"), F.lit(0).alias("role"), "id", "set")
+    star_links = stored(_dealt(members.union(firsts), ["u", "part"], "role", "id").mapInArrow(_linked_first(percent), "u long, v long"))
+    discard(stars), discard(sets)
+    joined = stored(connected_components(star_links))
+
+    placed = sketched.join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
+    alive = placed.groupBy("key", "step").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "step")
+    rest = stored(placed.join(alive, ["key", "step"], "left_semi").select("key", "step", "id", "component", "n", "sketch"))
     discard(sketched)
+    pairs = _open_blocks(rest, ["key", "step"]).mapInArrow(_alike(most, ratio), "u long, v long")
+    family = stored(connected_components(pairs.distinct()))
+    discard(rest)
+    sets = sets_of(family.select("id"))
+    related = family.select("id", F.col("component_id").alias("family")).join(joined, "id", "left").select("family", "id", F.coalesce("component_id", "id").alias("component"))
+    links = _open_blocks(related.join(sets, "id").select("family", "id", "component", "set"), ["family"]).mapInArrow(_linked(percent), "u long, v long")
+    joined = stored(connected_components(star_links.union(links)))
+    discard(star_links), discard(sets), discard(family)
 
     named = rep.join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("n", "print", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n", "print").join(named, ["n", "print"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def _print(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id stands for its near-duplicate class.
 

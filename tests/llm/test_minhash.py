@@ -56,6 +56,7 @@ def test_is_the_brute_force_result(spark, percent):
 
 def test_blocks_of_large_families(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PART", 8)
     rows = made(200, 11)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert got == brute(rows, 85)
@@ -92,3 +93,36 @@ def test_sketches_estimate_high_similarities():
 def test_words_are_ascii_words():
     assert len(Shingler()("a b\x0bc\x1cd e f")) == 1 and len(Shingler()("")) == 0
     assert np.array_equal(Shingler()("A B C D E F"), Shingler()("a b\nc d e f"))
+
+
+def chain(n, width=40, step=3):
+    """Texts of which neighbours link and the ends don't: a window that moves on over a list of words."""
+    return [(k, " ".join(f"w{x}" for x in range(k * step, k * step + width))) for k in range(n)]
+
+
+def test_links_that_the_first_member_does_not_have(spark, monkeypatch):
+    """Chains, and a large group of copies beside stragglers: what stars leave open is compared in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rows = chain(60, 60, 2) + [(1000 + i, t) for i, t in chain(40, 30, 1)]
+    body = [f"c{x}" for x in range(120)]
+    for k in range(300):
+        w = list(body)
+        w[k % 120] = f"x{k}"
+        rows.append((5000 + k, " ".join(w)))
+    rows += [(9000 + k, " ".join(body[: 108 - k] + [f"y{k}"])) for k in range(6)]
+    rng = random.Random(4)
+    rng.shuffle(rows)
+    rows = [(i * 7919 % 100_003, t) for i, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85).collect()}
+    want = brute(rows, 85)
+    assert got == want and len({c for _, c in want.values()}) < 60
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """The text of least print stands for the id; every order of rows gives the same."""
+    rows = [(1, "a b c d e f g h"), (1, "m n o p q r s t"), (2, "a b c d e f g h"), (3, "m n o p q r s t"), (4, None), (4, "x y z u v w")]
+    found = []
+    for k in (1, 2, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(k)
+        found.append(sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_near_duplicates(df, 85).collect()))
+    assert found[0] == found[1] == found[2] and [f[2] for f in found[0]] == [1, 1, 1, 1, 4, 4]
