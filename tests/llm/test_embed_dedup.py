@@ -77,3 +77,34 @@ def test_stopping_early_loses_no_pair():
     i, j = near_pairs(x, x, principal_axes(unit), 0.6, True)
     want = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.6, 1)), strict=True)}
     assert set(zip(i, j, strict=True)) == want and want
+
+
+def test_heads_and_strips_lose_no_pair(spark, monkeypatch):
+    """Vectors longer than a head, with spread in the later dimensions too, in several blocks and strips."""
+    from lodestar.llm import embed_dedup
+
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embed_dedup, "STRIP", 16)
+    rows = made(500, 40, 8) + [(5000 + k, v, lab) for k, (_, v, lab) in enumerate(made(60, 40, 8))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_duplicates(spark.createDataFrame([(*r, "") for r in rows], SCHEMA).repartition(6)).collect()}
+    assert got == brute(rows, 0.98) and sum(n > 0 for n, _ in got.values()) > 100
+
+
+def test_joining_by_strips_is_transitive():
+    from lodestar.llm.embed_dedup import _join
+
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 60, (50, 2))
+    label, up = np.arange(60), list(range(60))
+    for part in np.array_split(pairs, 7):
+        _join(label, part[:, 0], part[:, 1])
+    for a, b in pairs.tolist():
+        x, y = up[a], up[b]
+        up = [min(x, y) if u in (x, y) else u for u in up]
+    assert label.tolist() == up
+
+
+def test_repeated_ids_are_separate_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1, ""), (1, [0.0, 1.0], 1, ""), (2, [1.0, 0.01], 1, ""), (3, [0.0, -0.0], 1, "")]
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
