@@ -52,8 +52,8 @@ class Lexicon:
 
     weights: dict[str, float] = field(default_factory=lambda: {f" {w} ": 4.0 for w in SEED_WORDS})
     exceptions: tuple[str, ...] = EXCEPTIONS
-    slope: float = 6.0
-    offset: float = -3.0
+    slope: float = 40.0
+    offset: float = -2.0
 
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
@@ -65,8 +65,12 @@ class Lexicon:
         return a
 
 
+#: Words added to a text's own before its weight is divided by them, so that one word makes no whole text.
+_LEAST_WORDS = 50
+
+
 def density(matcher: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
-    """Summed weight by the logarithm of the number of words, and the number of hits that count."""
+    """Summed weight per word of the text, and the number of hits that count."""
     if not len(matcher):
         return 0.0, 0
     hits, free = [], []
@@ -75,7 +79,7 @@ def density(matcher: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
     if free:
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in free)]
     n = folded.count(" ") - 1
-    return sum(w for *_, w in hits) / math.log2(8 + n), len(hits)
+    return sum(w for *_, w in hits) / (_LEAST_WORDS + n), len(hits)
 
 
 def _patterns(words: Iterable[str]) -> set[str]:
@@ -134,24 +138,26 @@ def learn_lexicon(texts: Iterable[str | None], toxic: Iterable[int], least: int
     matcher = lexicon.automaton()
     x = np.array([density(matcher, t)[0] for t in folded])
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0)  # both classes count alike; the sample is stratified
-    a, b = 4.0, -2.0
+    a, b = 20.0, -2.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         g = np.array([((p - y) * share * x).sum() + 1e-4 * a, ((p - y) * share).sum()])
         w = share * p * (1 - p) + 1e-9
         h = np.array([[(w * x * x).sum() + 1e-4, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
+        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -1, 1)
         if abs(step).max() < 1e-6:
             break
     lexicon.slope, lexicon.offset = float(a), float(b)
     return lexicon
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", only: Column | None = None, per_class: int = 1500) -> Lexicon:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", only: Column | None = None, per_class: int = 1500, most_chars: int = 50_000) -> Lexicon:
     """Learn from at most per_class labelled texts of each class, the first by a hash of the id; `only` limits the ids.
 
-    Conflicting labels of one id count as the larger; null labels and ids without a text don't count.
+    The bounds are of learning rows only: texts of more than most_chars code points teach nothing, so that the driver
+    holds at most 2 * per_class * most_chars code points. Conflicting labels of one id count as the larger, of several
+    texts of one id the first in order counts; null labels and ids without a text don't count.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if only is not None:
@@ -159,8 +165,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y"))
     part = [known.where(F.col("__y") == v).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for v in (1, 0)]
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    rows = texts.join(F.broadcast(part[0].union(part[1])), "__id").select("__id", "__text", "__y").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    texts = texts.where(F.length("__text") <= most_chars)
+    rows = texts.join(F.broadcast(part[0].union(part[1])), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select("__id", "__text", "__y").collect()
+    rows.sort(key=lambda r: str(r[0]))
     return learn_lexicon([r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -66,3 +66,22 @@ def test_labels_are_not_read_from_held_out_rows(spark):
     docs = spark.createDataFrame([(k, f"t{k} zzgloop q{k} filler text") for k in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
     assert " zzgloop " not in fit_toxicity(docs, labels, only=F.lit(False)).weights
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Every place of every pattern looked up one by one; hits inside an exception don't count; weight per word."""
+    import math
+    import random
+
+    lexicon = Lexicon(weights={" idiot ": 4.0, " trash ": 2.0, " stup": 3.0, " stupid ": 1.0}, exceptions=("trash can", "stupid simple"), slope=30.0, offset=-1.5)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["idiot", "Trash", "can", "stupid", "simple", "stup1dly", "1d10t", "fine", "day,", "x"], k=rng.randint(0, 30))) for _ in range(300)]
+
+    def brute(text):
+        t = fold(text)
+        free = [(k, k + len(p) + 2) for p in lexicon.exceptions for k in range(len(t)) if t.startswith(f" {p} ", k)]
+        total = sum(w for p, w in lexicon.weights.items() for k in range(len(t)) if t.startswith(p, k) and not any(a <= k and k + len(p) <= b for a, b in free))
+        return 1 / (1 + math.exp(-(lexicon.slope * total / (50 + len(t.split())) + lexicon.offset)))
+
+    got = {r.k: r.score for r in score_toxicity(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), lexicon).collect()}
+    assert all(abs(got[k] - brute(t)) < 1e-9 for k, t in enumerate(texts)) and len({round(s, 6) for s in got.values()}) > 50
