@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shlex
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,3 +37,17 @@ def apps_for_mime(apps: DataFrame, mimes: Sequence[str]) -> DataFrame:
     wanted = apps.sparkSession.createDataFrame([(m, k) for k, m in enumerate(mimes)], "mime string, position int")
     handled = apps.select("id", "name", F.explode("mime_types").alias("mime")).join(F.broadcast(wanted), "mime")
     return handled.groupBy("id", "name").agg(F.min("position").alias("position")).orderBy("position", F.lower("name"), "id")
+
+
+def named_like(apps: DataFrame, needle: str) -> DataFrame:
+    """Apps whose name holds the text, in any case; all for an empty one."""
+    return apps.where(F.contains(F.lower("name"), F.lit(needle.strip().lower())))
+
+
+def command_line(exec_line: str, target: str, name: str = "", path: str = "") -> list[str]:
+    """Arguments that open target with an application's command: its field codes filled in, target at the end if it
+    has none for files. Unknown codes are empty, arguments that were nothing but codes without a value go."""
+    filled = dict.fromkeys("fF", target) | dict.fromkeys("uU", f"file://{quote(target, safe='/')}") | {"c": name, "k": path, "%": "%"}
+    asked = [(part, set(re.findall("%(.)", part))) for part in shlex.split(exec_line) if part != "%i"]
+    made = [(re.sub("%(.)", lambda m: filled.get(m[1], ""), part), codes) for part, codes in asked]
+    return [part for part, codes in made if part or not codes] + [target] * all(codes.isdisjoint("fFuU") for _, codes in asked)

@@ -12,6 +12,8 @@ NOISE = "the and for with from that this new copy final old pdf jpg jpeg png txt
 READ_CHARS, READ_WORDS, PAIRED_WORDS = 3000, 60, 15
 LEAST_DF, LEAST_TOGETHER, MOST_DF_SHARE, TOP, LEAST_DOCS = 3, 3, 0.2, 8, 20
 LEAST_NPMI, LEAST_JACCARD = 0.3, 0.25
+#: Usable words up to which their frequencies are broadcast.
+BROADCAST_WORDS = 500_000
 
 
 def document_words(name: Column, folder: Column, content: Column) -> Column:
@@ -39,7 +41,9 @@ def related_words(docs: DataFrame, top: int = TOP) -> DataFrame:
         return read.sparkSession.createDataFrame([], "word string, other string, score double")
     each = read.select("id", F.explode("words").alias("word"))
     df = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    usable = df.where((F.col("df") >= LEAST_DF) & (F.col("df") <= max(LEAST_DF, int(MOST_DF_SHARE * n))))
+    usable = df.where((F.col("df") >= LEAST_DF) & (F.col("df") <= max(LEAST_DF, int(MOST_DF_SHARE * n)))).persist()
+    if usable.count() <= BROADCAST_WORDS:  # beyond, every word of every document is shuffled to its frequency
+        usable = F.broadcast(usable)
     # a document's words are READ_WORDS at most: they come together without a window over the corpus
     rated = each.join(usable, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("rated"))
     rare = rated.select(F.array_sort(F.transform(F.slice("rated", 1, PAIRED_WORDS), lambda x: x["word"])).alias("w"))

@@ -1,4 +1,4 @@
-"""Inverted index: postings, lengths, vocabulary and trigrams, all partial-aggregated before their shuffle."""
+"""Inverted index: postings, statistics, vocabulary and trigrams, all partial-aggregated before their shuffle."""
 
 from __future__ import annotations
 
@@ -11,23 +11,29 @@ from ..functions.text import index_tokens, split_words, trigrams
 FIELD_WEIGHTS = {"name": 10.0, "folder": 3.0, "content": 1.0, "extra": 3.0}
 
 
+def _tokens(field: str) -> Column:
+    return (index_tokens if field == "content" else split_words)(F.col(field))
+
+
 def token_rows(docs: DataFrame) -> DataFrame:
-    """(id, field, term) for each token of docs(id, name, folder, content, extra); one scan, no shuffle."""
-    made = F.array(*[
-        F.struct(F.lit(f).alias("field"), (index_tokens if f == "content" else split_words)(F.col(f)).alias("terms")) for f in FIELD_WEIGHTS
-    ])
-    return docs.select("id", F.explode(made).alias("x")).select("id", "x.field", F.explode("x.terms").alias("term"))
+    """(id, dl, field, term) for each token of docs(id, name, folder, content, extra), dl being their number in the
+    document; one scan, no shuffle, each field is split once."""
+    split = docs.select("id", *[_tokens(f).alias(f) for f in FIELD_WEIGHTS])
+    made = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in FIELD_WEIGHTS])
+    length = sum((F.size(f) for f in FIELD_WEIGHTS), F.lit(0)).cast("long")
+    return split.select("id", length.alias("dl"), F.explode(made).alias("x")).select("id", "dl", "x.field", F.explode("x.terms").alias("term"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, field, id, tf). Documents without tokens have none."""
-    return token_rows(docs).groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, field, id, tf, dl): what a ranking needs of a term and a document, length included. Documents without
+    tokens have none."""
+    return token_rows(docs).groupBy("term", "field", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    """(id, dl): tokens of all fields, 0 for documents without any; counted in place."""
-    total = sum((F.size((index_tokens if f == "content" else split_words)(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
-    return docs.select("id", total.cast("long").alias("dl"))
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """One row (n, mean): documents, those without tokens too, and tokens of one on average."""
+    length = sum((F.size(_tokens(f)) for f in FIELD_WEIGHTS), F.lit(0)).cast("long")
+    return docs.select(length.alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
 
 
 def admitted(word: Column) -> Column:

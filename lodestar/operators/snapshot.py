@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import in_subtree
@@ -43,6 +43,20 @@ def delete_subtrees(files: DataFrame, roots: Sequence[str]) -> DataFrame:
     return files
 
 
+def ancestors(path: Column, itself: bool = True) -> Column:
+    """The folders above a path, from the top, and the path itself."""
+    parts = F.split(path, "/")
+    last = F.size(parts) if itself else F.size(parts) - 1
+    return F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.when(k == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, k), "/")))
+
+
+def without_subtrees(files: DataFrame, gone: DataFrame) -> DataFrame:
+    """Files that neither are a path of gone(path) nor lie below one: each asks for its ancestors, an equi join."""
+    asked = files.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+    hit = asked.join(gone.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+    return files.join(hit, "path", "left_anti")
+
+
 def removed_rows(table: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
     """Rows whose key isn't in gone."""
     return table.join(gone.select(key).distinct(), key, "left_anti")

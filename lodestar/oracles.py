@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import APPS, COUNTRIES, MOUNTS, NOW, PLACES, TYPOS
+from .functions.files import PHOTO_EXTENSIONS, RTF_EXTENSIONS, RUNNABLE_EXTENSIONS, TEXT_EXTENSIONS, ZIP_EXTENSIONS
+from .plans.queryparse import BIG, IN_FOLDER, KIND_WORDS, LARGE, LITTLE, OVER, PAST, SMALL, STOP_WORDS, UNDER
+from .queries import APPS, COUNTRIES, KIND_EXTENSIONS, MOUNTS, NOW, PLACES, REQUESTS, TYPOS
 
 
 def _values(rows) -> str:
@@ -26,7 +28,7 @@ files as (
   select doc_id id, '/corpus/' || source || '/' || lang || '/' || source || '_' || lang || '_' || doc_id || '.' || ext path,
     source || '_' || lang || '_' || doc_id || '.' || ext as name, '/corpus/' || source || '/' || lang folder, ext,
     case ext when 'pdf' then 'pdf' when 'csv' then 'spreadsheet' when 'jpg' then 'image' else 'document' end kind,
-    false is_dir, n_chars size, mtime, case when ext = 'jpg' then mtime - 30 * 86400 end taken, substr(text, 1, 20000) content from base),
+    false is_dir, n_chars size, mtime, case when ext = 'jpg' then mtime - 30 * 86400 end taken, text content from base),
 docs as (
   select id, name, folder, content, case when taken is null then '' else strftime(make_timestamp((taken * 1000000)::bigint), '%Y') || ' '
     || lower(monthname(make_timestamp((taken * 1000000)::bigint))) end extra from files)"""
@@ -142,7 +144,7 @@ and (starts_with(path, '/corpus/src1/') or starts_with(path, '/corpus/src5/'))""
 select path from p where not exists (select 1 from p q where starts_with(p.path, q.path || '/'))""",
     "vocab_build": f"""with {FILES},
 named as (select unnest(list_concat(list_concat({words('name')}, {words('folder')}), {words('extra')})) word from docs),
-inside as (select unnest(list_sort(list_distinct(regexp_extract_all(lower(content), '\\p{{L}}{{4,20}}')))[1:200]) w from docs),
+inside as (select unnest(list_distinct(regexp_extract_all(lower(content), '\\p{{L}}{{4,20}}'))) w from docs),
 texts as (select unnest({words('w')}) word from inside)
 select word, max(src) src from (select word, 1 src from named union all select word, 0 from texts)
 where not regexp_matches(word, '^[0-9]+$') and length(word) between 2 and 30 group by word""",
@@ -220,5 +222,71 @@ select id, name, min(case mime when 'text/markdown' then 0 else 1 end)::int as p
 ORACLES["suggest_completions"] = f"with v as ({ORACLES['vocab_build']}) select word from v where starts_with(word, 'ein') order by length(word), word limit 5"
 
 
+_KIND_OF = [(w, kind) for kind, names in KIND_WORDS.items() for w in names.split()]
+_UNIT = "case left({x}, 1) when 'k' then 1024 when 'm' then 1048576 when 'g' then 1073741824 end"
+#: (pattern, after, before) at NOW, 2024-02-01, a Thursday.
+_DATES = (
+    (r"\btoday\b", "2024-02-01", "2024-02-02"), (r"\byesterday\b", "2024-01-31", "2024-02-01"), (r"\bthis week\b", "2024-01-29", None), (r"\blast week\b", "2024-01-22", "2024-01-29"),
+    (r"\bthis month\b", "2024-02-01", None), (r"\blast month\b", "2024-01-01", "2024-02-01"), (r"\bthis year\b", "2024-01-01", None), (r"\blast year\b", "2023-01-01", "2024-01-01"),
+    (r"\brecent(?:ly)?\b", "2024-01-18", None),
+)
+
+
+def _when(value) -> str:
+    return " ".join(f"when regexp_matches(s, '{p}') then {value(p, a, b)}" for p, a, b in _DATES)
+
+
+def _size(s: str, pattern: str) -> str:
+    return f"floor(try_cast(nullif(regexp_extract({s}, '{pattern}', 1), '') as double) * {_UNIT.format(x=f"regexp_extract({s}, '{pattern}', 2)")})::bigint"
+
+
+_SECONDS = lambda d: "null" if d is None else f"epoch(timestamp '{d}')"
+
+ORACLES["parse_conversations"] = f"""with t(id, x) as (
+  select conv_id * 1000 + turn, text from conversations where role = 'user' union all select * from (values {_values([(-1 - k, t) for k, t in enumerate(REQUESTS)])})),
+a as (select id, ' ' || lower(replace(strip_accents(coalesce(x, '')), 'ß', 'ss')) || ' ' s from t),
+b as (select id, {_size('s', OVER)} lo, regexp_replace(s, '{OVER}', ' ') s from a),
+c as (select id, lo, {_size('s', UNDER)} hi, regexp_replace(s, '{UNDER}', ' ') s from b),
+d as (select id, hi, coalesce(lo, case when regexp_matches(s, '{BIG}') then {LARGE} end) lo, case when lo is null then regexp_replace(s, '{BIG}', ' ') else s end s from c),
+e as (select id, lo, coalesce(hi, case when regexp_matches(s, '{LITTLE}') then {SMALL} end) hi, case when hi is null then regexp_replace(s, '{LITTLE}', ' ') else s end s from d),
+f as (select id, lo, hi,
+  case when regexp_matches(s, '{PAST}') then {NOW} - 86400 * regexp_extract(s, '{PAST}', 1)::double * case regexp_extract(s, '{PAST}', 2) when 'day' then 1 when 'week' then 7 when 'month' then 30 else 365 end
+    {_when(lambda p, a, b: _SECONDS(a))} end "after",
+  case when regexp_matches(s, '{PAST}') then null {_when(lambda p, a, b: _SECONDS(b))} end "before",
+  case when regexp_matches(s, '{PAST}') then regexp_replace(s, '{PAST}', ' ') {_when(lambda p, a, b: f"regexp_replace(s, '{p}', ' ')")} else s end s from e),
+g as (select * exclude (s), regexp_extract_all(s, '{IN_FOLDER}', 1) folders, regexp_replace(s, '{IN_FOLDER}', ' ', 'g') s from f),
+h as (select *, {words(r"regexp_replace(s, '\bdownloaded\b', ' ')")} w from g),
+kinds(word, kind) as (values {_values(_KIND_OF)}), stops(word) as (values {_values(sorted(STOP_WORDS))}),
+u as (select id, unnest(w) word, generate_subscripts(w, 1) k from h),
+firsts as (select id, word, min(k) k from u group by id, word),
+terms as (select id, string_agg(word, ' ' order by k) terms from firsts where word not in (select word from kinds) and word not in (select word from stops) group by id),
+of_kind as (select id, kind, min(k) k from firsts join kinds using (word) group by id, kind),
+named as (select id, string_agg(kind, ' ' order by k) kinds from of_kind group by id)
+select id, lo::bigint min_size, hi::bigint max_size, "after"::double "after", "before"::double "before",
+  array_to_string(case when regexp_matches(s, '\\bdownloaded\\b') then list_append(folders, 'downloads') else folders end, ' ') folder_words,
+  coalesce(kinds, '') kinds, coalesce(terms, '') terms from h left join terms using (id) left join named using (id)"""
+ORACLES["event_subtrees"] = """with e as (
+  select event_id seq, event_type = 'error' gone, '/f' || (user_id % 20) || case when event_type = 'error' then '' else '/g/u' || user_id end path from events),
+last as (select path, max(seq) seq, arg_max(gone, seq) gone from e group by path),
+cut as (select path, max(seq) cut_at from e where gone group by path)
+select l.path, case when l.gone or coalesce(c.cut_at, -1) > l.seq then 'deleted' else 'changed' end kind, case when not l.gone and c.cut_at > l.seq then c.cut_at else l.seq end seq
+from last l left join cut c on not l.gone and starts_with(l.path, c.path || '/')"""
+ORACLES["event_distinct"] = "select conv_id::varchar path, count(*) n, sum(turn)::double total from (select distinct conv_id, turn, text from conversations where role = 'user') group by 1"
+ORACLES["sorted_names"] = f"with {FILES} select id, name from files order by lower(name) desc, id limit 50"
+ORACLES["runnable_kinds"] = f"""select ext, ext in ({", ".join(f"'{e}'" for e in RUNNABLE_EXTENSIONS)}) runs,
+  ext in ({", ".join(f"'{e}'" for e in TEXT_EXTENSIONS + ZIP_EXTENSIONS + RTF_EXTENSIONS + PHOTO_EXTENSIONS)}) wanted
+from (values {_values([e for names in KIND_EXTENSIONS.values() for e in names.split()] + ["desktop", "appimage", "deb", "", "exe"])}) t(ext)"""
+ORACLES["app_names"] = f"""with e(id, name, rank) as (values {_values([(a, n, r) for a, n, _, r in APPS])})
+select id, name from e where rank = (select min(rank) from e x where x.id = e.id) and contains(lower(name), 'edit')"""
+ORACLES["suggestions"] = f"""with h as ({ORACLES["history_top"]}), v as ({ORACLES["vocab_build"]}),
+c as (select word from v where starts_with(word, 'th') order by length(word), word limit 5),
+s as (select query x, row_number() over (order by uses desc, ts desc, query) k from h union all select word, 100 + row_number() over (order by length(word), word) from c where word <> 'th'),
+d as (select x, min(k) k from s where x <> 'th' group by x)
+select (row_number() over (order by k) - 1)::int place, x as text from d order by k limit 8"""
+ORACLES["exif_photos"] = """select * from (values (1, epoch(timestamp '2024-07-13 14:22:05'), 52.5::double, (13 + 24 / 60.0)::double), (2, epoch(timestamp '2023-12-24 10:00:00'), -1.25::double, -36.75::double),
+  (3, null, null, null), (4, null, null, null)) t(id, taken, lat, lon)"""
+ORACLES["file_texts"] = "select * from (values (1, 'kubernetes migration & roadmap'), (2, 'Hello bold w rld'), (3, 'plain text'), (4, ''), (5, ''), (6, ''), (7, '')) t(id, text)"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

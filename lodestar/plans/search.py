@@ -15,7 +15,7 @@ from ..functions.files import effective_date, type_label
 from ..functions.text import fold_text, split_words
 from ..operators import association, feedback, spelling
 from ..operators.filters import FileFilter, existing_folders, nearby, newest
-from ..operators.index import doc_lengths, postings, vocabulary, vocabulary_trigrams
+from ..operators.index import corpus_stats, postings, vocabulary, vocabulary_trigrams
 from ..operators.ranking import bm25, group_phrases, matches
 from .queryparse import Query, parse_query
 
@@ -56,7 +56,7 @@ class Index:
     files: DataFrame
     docs: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
     vocab: DataFrame
     grams: DataFrame
     related: DataFrame
@@ -69,17 +69,26 @@ class Index:
         empty = spark.createDataFrame
         vocab = vocabulary(docs)
         return cls(
-            files, docs, postings(docs), doc_lengths(docs), vocab, vocabulary_trigrams(vocab), association.related_words(docs),
+            files, docs, postings(docs), corpus_stats(docs), vocab, vocabulary_trigrams(vocab), association.related_words(docs),
             empty([], "term string, path string, ts double") if clicks is None else clicks,
             empty([], "query string, ts double") if searches is None else searches,
         )
 
     def persist(self) -> Index:
         """Keep the derived tables in executors' memory and disks while one session searches; save() for more."""
-        for name in ("postings", "lengths", "vocab", "grams", "related"):
+        for name in self._derived:
             getattr(self, name).persist()
         return self
 
+    def unpersist(self) -> Index:
+        for name in self._derived:
+            getattr(self, name).unpersist()
+        return self
+
+    @property
+    def _derived(self) -> tuple[str, ...]:
+        return ("postings", "stats", "vocab", "grams", "related")
+
     def save(self, path: str) -> Index:
         """Write the tables below path, postings and lists sorted for point look-ups, and return them as read back."""
         by = {"postings": "term", "vocab": "word", "grams": "gram", "related": "word", "files": "path"}
@@ -187,7 +196,7 @@ def score(found: DataFrame, groups: Sequence[Group], clicks: DataFrame, now: flo
 def retrieve(index: Index, groups: Sequence[Group], where: FileFilter, limit: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, content): the best files by BM25 that pass the filter with their words, and matched text words by id."""
     found = matches(index.postings, group_phrases([g.words for g in groups]))
-    ranked = bm25(found, index.lengths, n_groups=len(groups) if every else None)
+    ranked = bm25(found, index.stats, n_groups=len(groups) if every else None)
     files = where.apply(index.files)
     rows = ranked.join(files, "id").orderBy("raw", "id").limit(limit)
     texts = index.docs.select("id", split_words(F.col("name")).alias("name_words"), F.array_distinct(split_words(F.col("folder"))).alias("folder_words"), F.array_distinct(split_words(F.col("extra"))).alias("extra_words"))

@@ -12,24 +12,20 @@ from pyspark.sql import functions as F
 
 from .functions.exif import exif_info
 from .functions.extract import extract_text, markup_text
-from .functions.files import folder_words, format_size, format_time, type_label
+from .functions.files import KIND_EXTENSIONS, folder_words, format_size, format_time, is_runnable, type_label, wanted_extensions
 from .functions.text import edit_distance, split_words, trigrams
 from .operators import apps, association, feedback, geo, snapshot, spelling
 from .operators.filters import FileFilter, existing_folders, nearby, needs_extraction, newest, skipped, top_roots
-from .operators.index import doc_lengths, postings, vocabulary, vocabulary_trigrams
+from .operators.index import corpus_stats, postings, vocabulary, vocabulary_trigrams
 from .operators.ranking import Phrase, bm25, group_phrases, matches, top
 from .plans.queryparse import query_columns
-from .plans.search import Group, Index, score
+from .plans.search import Group, Index, score, sort_hits, suggest
 from .sources.tables import corpus, corpus_docs, skipped_mounts
 from .streaming import events as stream
 
 #: 2024-02-01 00:00 UTC, after the last event of the test tables.
 NOW = 1706745600.0
 DAY = 86400.0
-#: Words of each text that the SQL of vocab_build takes; an index takes all.
-SQL_WORDS = 200
-#: Characters of each text that the SQL reads, as the reference does of a file.
-SQL_CHARS = 20_000
 #: Misspelt words of part names.
 TYPOS = ("smal", "wigdet", "galvn", "hamer", "grean", "colt", "blu")
 PLACES = ((52.52, 13.405, "Berlin", "Berlin", "DE"), (48.8566, 2.3522, "Paris", "Île-de-France", "FR"), (-1.2864, 36.8172, "Nairobi", "Nairobi County", "KE"), (69.65, 18.96, "Tromsø", "Troms", "NO"), (52.39, 13.06, "Potsdam", "Brandenburg", "DE"), (-16.8, 179.99, "Labasa", "Northern", "FJ"))
@@ -48,7 +44,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(_table(spark, sf_dir, "documents"), SQL_CHARS)
+    return corpus(_table(spark, sf_dir, "documents"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +53,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, phrases: list[Phrase], n_groups: int | None, limit: int = 100) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    lengths = doc_lengths(docs).persist()  # read twice; an index has them as a table
-    scored = bm25(matches(postings(docs), phrases), lengths, n_groups=n_groups)
+    scored = bm25(matches(postings(docs), phrases), corpus_stats(docs), n_groups=n_groups)
     best = top(scored.select("id", F.round("raw", 6).alias("raw")), limit)
     return best.join(_files(spark, sf_dir).select("id", "path"), "id").select("id", "path", "raw")
 
@@ -110,8 +105,8 @@ def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearby_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    own = files.where("id = 9").select("folder", "path")
-    return nearby(files, own.first()["path"], 200).select("id", "path", "mtime")
+    own = files.where("id = 9").select("path").first()
+    return nearby(files, own["path"] if own else "/", 200).select("id", "path", "mtime")
 
 
 def existing_folder_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +131,7 @@ def root_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary(_docs(spark, sf_dir), SQL_WORDS)
+    return vocabulary(_docs(spark, sf_dir))
 
 
 def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +150,9 @@ def trigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     typos = spark.createDataFrame([(t,) for t in TYPOS], "term string")
     words = _part_words(spark, sf_dir).select("word")
-    return words.join(F.broadcast(typos), F.abs(F.length("word") - F.length("term")) <= 3).select("term", "word", edit_distance(F.col("term"), F.col("word")).alias("distance"))
+    # lengths that may differ by three: an equi join on the length
+    typos = typos.select("term", F.explode(F.sequence(F.greatest(F.length("term") - 3, F.lit(1)), F.length("term") + 3)).alias("size"))
+    return words.join(F.broadcast(typos), F.length("word") == F.col("size")).select("term", "word", edit_distance(F.col("term"), F.col("word")).alias("distance"))
 
 
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +221,7 @@ def search_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _clicks(spark, sf_dir).select(F.lit("src3").alias("term"), F.concat(F.lit("/corpus/src3/en/src3_en_"), "path", F.lit(".txt")).alias("path"), "ts")
     groups = [Group("src3", True), Group("en", True)]
     found = matches(postings(docs), group_phrases([g.words for g in groups]))
-    rows = bm25(found, doc_lengths(docs), n_groups=2).join(files, "id")
+    rows = bm25(found, corpus_stats(docs), n_groups=2).join(files, "id")
     texts = docs.select("id", split_words(F.col("name")).alias("name_words"), F.array_distinct(split_words(F.col("folder"))).alias("folder_words"), F.array_distinct(split_words(F.col("extra"))).alias("extra_words"))
     best = score(rows.join(texts, "id"), groups, clicks, NOW, "/corpus/src3/en", True)
     return best.select("id", "path", "label", F.round("score", 6).alias("score"), "reason")
@@ -234,7 +231,7 @@ def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search with typo and second pass; results by the driver's plan."""
     from .plans.search import search
 
-    files = corpus(_table(spark, sf_dir, "documents"))  # whole texts: no SQL limits them here
+    files = _files(spark, sf_dir)
     index = Index.build(files, corpus_docs(files)).persist()
     return search(index, "src3 einschh in DE", NOW, home="/corpus/src3").hits
 
@@ -275,6 +272,43 @@ def stream_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.clicks(e).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("first"))
 
 
+def event_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of files below twenty folders; an error deletes the folder with all below it."""
+    folder = F.concat(F.lit("/f"), (F.col("user_id") % 20).cast("string"))
+    failed = F.col("event_type") == "error"
+    path = F.when(failed, folder).otherwise(F.concat(folder, F.lit("/g/u"), F.col("user_id").cast("string")))
+    e = _table(spark, sf_dir, "events").select(F.when(failed, "deleted").otherwise("changed").alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("path2"), F.col("event_id").alias("seq"))
+    return stream.batch_state(e)
+
+
+def event_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of which every third came twice."""
+    c = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    e = c.select(F.lit("click").alias("kind"), F.col("conv_id").cast("string").alias("path"), F.lit(None).cast("string").alias("path2"), F.col("text").alias("query"), F.col("turn").cast("double").alias("ts"), F.col("conv_id").alias("seq"))
+    return stream.distinct_events(e.union(e.where("seq % 3 = 0"))).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("total"))
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is offered while "th" is typed: past searches, then completions."""
+    index = Index(*[None] * 4, vocabulary(_docs(spark, sf_dir)), *[None] * 3, _searches(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(suggest(index, "th"))), "place int, text string")
+
+
+def sorted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty files by name, backwards."""
+    return sort_hits(_files(spark, sf_dir), "name", True).limit(50).select("id", "name")
+
+
+def runnable_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exts = [e for names in KIND_EXTENSIONS.values() for e in names.split()] + ["desktop", "appimage", "deb", "", "exe"]
+    return spark.createDataFrame([(e,) for e in exts], "ext string").select("ext", is_runnable(F.col("ext")).alias("runs"), F.col("ext").isin(wanted_extensions()).alias("wanted"))
+
+
+def app_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(APPS, "id string, name string, mime_types array<string>, dir_rank int")
+    return apps.named_like(apps.offered_apps(entries), " Edit ").select("id", "name")
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the reference: daily counts by event-time windows."""
     out = stream.windowed_counts(_table(spark, sf_dir, "events"))
@@ -340,8 +374,8 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     bm25_top, bm25_and, bm25_or, bm25_prefix, split_words_docs, ext_kind_label, filter_kind_size_date, filter_folder_segment, scope_path_range, newest_files,
     nearby_files, existing_folder_words, scan_skips, to_extract, root_folders, vocab_build, vocab_trigrams, trigram_pieces, edit_distances, fuzzy_candidates,
     related_pairs, best_related, click_decay, click_memory, click_rename, history_top, suggest_completions, parse_requests, parse_conversations, search_scored,
-    search_full, snapshot_diff, snapshot_apply, delete_subtree, upsert_latest, event_latest, stream_clicks, event_windows, nearest_place, photo_words,
-    html_clean, mounts_skip, mime_app_rank, exif_photos, file_texts,
+    search_full, snapshot_diff, snapshot_apply, delete_subtree, upsert_latest, event_latest, event_subtrees, event_distinct, stream_clicks, event_windows, nearest_place, photo_words,
+    html_clean, mounts_skip, mime_app_rank, app_names, runnable_kinds, sorted_names, suggestions, exif_photos, file_texts,
 )
 
 

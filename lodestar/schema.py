@@ -17,7 +17,7 @@ def _schema(text: str) -> T.StructType:
 
 FILES = _schema("id long, path string, name string, folder string, ext string, kind string, is_dir boolean, size long, mtime double, seen long, content_mtime double, taken double")
 DOCS = _schema("id long, name string, folder string, content string, extra string")
-POSTINGS = _schema("term string, field string, id long, tf long")
+POSTINGS = _schema("term string, field string, id long, dl long, tf long")
 VOCAB = _schema("word string, src int")
 RELATED = _schema("word string, other string, score double")
 CLICKS = _schema("term string, path string, ts double")

@@ -28,13 +28,13 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self, table: str) -> list[int]:
+    def versions(self, table: str, ended: bool = True) -> list[int]:
         p, fs = self._path(self._base(table))
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-        ended = [n for n in names if fs.exists(self._path(f"{self._base(table)}/{n}/_SUCCESS")[0])]
-        return sorted(int(n) for n in ended if n.isdigit())
+        numbers = [n for n in names if n.isdigit() and (not ended or fs.exists(self._path(f"{self._base(table)}/{n}/_SUCCESS")[0]))]
+        return sorted(map(int, numbers))
 
     def read(self, table: str) -> DataFrame | None:
         found = self.versions(table)
@@ -42,9 +42,10 @@ class Catalog:
 
     def write(self, table: str, df: DataFrame, sort: str | None = None, keep: int = 2) -> DataFrame:
         """A new version, range-sorted for point look-ups if asked; readers of older ones go on, all but `keep` are deleted."""
-        found = self.versions(table)
+        begun = self.versions(table, ended=False)
         df = df.repartitionByRange(sort).sortWithinPartitions(sort) if sort else df
-        df.write.mode("overwrite").parquet(f"{self._base(table)}/{found[-1] + 1 if found else 1}")
+        # a second writer of the same version fails, and a write that never ended keeps its number
+        df.write.mode("error").parquet(f"{self._base(table)}/{begun[-1] + 1 if begun else 1}")
         for old in self.versions(table)[:-keep]:
             p, fs = self._path(f"{self._base(table)}/{old}")
             fs.delete(p, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.files import kind_of, split_ext
 from lodestar.operators import association, feedback, spelling
-from lodestar.operators.index import doc_lengths, postings
+from lodestar.operators.index import corpus_stats, postings
 from lodestar.operators.ranking import bm25, group_phrases, matches
 from lodestar.plans.search import Index, clicks_of, files_near, search, suggest
 
@@ -92,7 +92,7 @@ def test_bm25_is_that_of_fts5(spark, home):
     for joiner, n in (("AND", 2), ("OR", None)):
         text = f" {joiner} ".join("(" + " OR ".join([f'"{g[0]}"', f'"{g[0]}"*', *[f'"{w}"' for w in g[1:]]]) + ")" for g in groups)
         want = {r - 1: s for r, s in db.execute("select rowid, bm25(d, 10.0, 3.0, 1.0, 3.0) from d where d match ?", (text,))}
-        got = {r.id: r.raw for r in bm25(found, doc_lengths(docs), n_groups=n).collect()}
+        got = {r.id: r.raw for r in bm25(found, corpus_stats(docs), n_groups=n).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 

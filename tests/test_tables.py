@@ -1,6 +1,7 @@
 import os
 import struct
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -141,3 +142,50 @@ def test_offers_and_runnables(spark):
     assert rows(apps.offered_apps(entries, installed=["sh"]), "id") == [("b",)] and rows(apps.offered_apps(entries, ["GNOME"]), "id") == [("b",)]
     assert rows(spark.createDataFrame([("sh",), ("txt",)], "e string").where(is_runnable(F.col("e")))) == [("sh",)]
     assert extract.text_of("pdf", b"%PDF") == ""
+
+
+def test_stream_subtrees_scans_and_quarantine(spark, tmp_path):
+    made = [("changed", "/a/x", None, None, 1.0, 1), ("changed", "/a/b/y", None, None, 2.0, 2), ("deleted", "/a", None, None, 3.0, 3), ("changed", "/a/new", None, None, 4.0, 4), ("changed", "/ab/z", None, None, 2.5, 2), ("rescan", None, None, None, 5.0, 5), ("rebuild", None, None, None, 6.0, 6)]
+    events = spark.createDataFrame(made, "kind string, path string, path2 string, query string, ts double, seq long")
+    assert rows(stream.batch_state(events), "path", "kind", "seq") == [("/a", "deleted", 3), ("/a/b/y", "deleted", 3), ("/a/new", "changed", 4), ("/a/x", "deleted", 3), ("/ab/z", "changed", 2)]
+    events.write.json(str(tmp_path / "in"))
+    scans = []
+
+    def apply(df, n):
+        raise ValueError("no such folder")
+
+    query = stream.follow(stream.read_events(spark, str(tmp_path / "in")), str(tmp_path / "c"), str(tmp_path / "s"), str(tmp_path / "cp"), apply, True, lambda rebuild, n: scans.append(rebuild), str(tmp_path / "bad"))
+    assert query.awaitTermination(60) and query.exception() is None and scans == [True]
+    left = spark.read.parquet(str(tmp_path / "bad"))
+    assert left.count() == 7 and {(r.step, r.error) for r in left.collect()} == {("apply", "no such folder")}
+    assert stream.learn_after_scan(200, True) and stream.learn_after_scan(0, False) and not stream.learn_after_scan(199, True)
+
+
+def test_a_batch_changes_the_snapshot(spark):
+    files = spark.createDataFrame([("/a/x", 1), ("/a/b/y", 1), ("/ab/z", 1), ("/c", 1), ("/d", 1)], "path string, size int")
+    state = spark.createDataFrame([("/a", "deleted", 3), ("/a/new", "changed", 4), ("/c", "changed", 5), ("/d", "changed", 6)], "path string, kind string, seq long")
+    fresh = spark.createDataFrame([("/a/new", 2), ("/c", 3)], "path string, size int")
+    assert rows(stream.apply_state(files, state, fresh)) == [("/a/new", 2), ("/ab/z", 1), ("/c", 3)]
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path):
+    from lodestar.sources.catalog import Catalog
+
+    class Late(Catalog):
+        def versions(self, table, ended=True):
+            return []
+
+    Catalog(spark, str(tmp_path)).write("files", spark.range(2))
+    with pytest.raises(Exception, match="(?i)exists"):
+        Late(spark, str(tmp_path)).write("files", spark.range(3))
+    assert Catalog(spark, str(tmp_path)).read("files").count() == 2
+
+
+def test_commands_and_names(spark):
+    line = lambda x: apps.command_line(x, "/a b/c.txt", "My App", "/x.desktop")
+    assert line("edit %F") == ["edit", "/a b/c.txt"] and line("open --at=%u %i") == ["open", "--at=file:///a%20b/c.txt"]
+    assert line("run --name %c %k 100%%") == ["run", "--name", "My App", "/x.desktop", "100%", "/a b/c.txt"] and line("x %d") == ["x", "/a b/c.txt"]
+    with pytest.raises(ValueError):
+        line('broken "quote')
+    entries = spark.createDataFrame([("a", "Text Editor"), ("b", "Viewer")], "id string, name string")
+    assert rows(apps.named_like(entries, " EDIT "), "id") == [("a",)] and apps.named_like(entries, "").count() == 2
