@@ -108,8 +108,11 @@ def most_differing(threshold: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * balls / SKETCH_BITS)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows with equal first columns, from batches sorted by them; each run is bounded by its blocks."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, once: int | None = None) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first columns, from batches sorted by them; each run is bounded by its blocks.
+
+    Of neighbours in a run that agree in column `once`, only the first counts.
+    """
     held, mark = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -117,6 +120,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
                 if held:
                     yield held
                 held, mark = [], row[:keys]
+            elif once is not None and row[once] == held[-1][once]:
+                continue
             held.append(row)
     if held:
         yield held
@@ -146,23 +151,26 @@ def _dealt(df: DataFrame, by: list[str], *order: str) -> DataFrame:
     return df.repartition(n_partitions(df.sparkSession), *by).sortWithinPartitions(*by, *order)
 
 
-def _stars(df: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Parts of each group of two rows or more, the group's row of least id leading each part; sorted by part."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__first")).where("__n > 1").withColumn("__c", F.ceil(F.col("__n") / most).cast("int"))
-    every = F.sequence(F.lit(0), F.col("__c") - 1)
-    parts = F.when(F.col("id") == F.col("__first"), every).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(78)), F.col("__c")).cast("int")))
-    out = df.join(sizes, keys).withColumn("__part", F.explode(parts))
-    return _dealt(out.select(*keys, "__part", *[c for c in df.columns if c not in keys]), [*keys, "__part"], "id")
+def _roles(stars: DataFrame, most: int) -> DataFrame:
+    """(id, u, part, role) from pairs (u, v): each star's members, role 1, in parts of about `most`; u, role 0, with their number."""
+    parts = stars.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("part"))
+    at = F.pmod(F.xxhash64("v", F.lit(79)), F.col("part")).cast("int").alias("part")
+    members = stars.join(parts, "u").select(F.col("v").alias("id"), "u", at, F.lit(1).alias("role"))
+    return members.union(parts.select(F.col("u").alias("id"), "u", "part", F.lit(0).alias("role")))
+
+
+def _dealt_roles(roles: DataFrame, *payload: str) -> DataFrame:
+    """Rows u, part, role, id, payload by part, in each of which u leads."""
+    at = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("part") - 1)).otherwise(F.array("part")))
+    return _dealt(roles.select("u", at.alias("part"), "role", "id", *payload), ["u", "part"], "role", "id")
 
 
 def _near_first(most: int, ratio: float):
-    """Of each part of (key, step, part, id, n, sketch), the pairs with its first row whose sizes and sketches allow a link."""
+    """Of each part of (u, part, role, id, n, sketch), the pairs with its first row whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Edges()
-        for rows in _groups(batches, 3):
-            if len(rows) < 2:
-                continue
+        for rows in _groups(batches, 2):
             bits = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
             n = np.array([r[4] for r in rows], float)
             near = (np.bitwise_count(bits[1:] ^ bits[0]).sum(axis=1) <= most) & (np.minimum(n[1:], n[0]) >= ratio * np.maximum(n[1:], n[0]))
@@ -199,12 +207,17 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum()) if len(a) else 0
 
 
-def _open_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal the rows (keys, id, component, ...) of each group that holds several components to tiles of two blocks.
+def _several(df: DataFrame, by: list[str]) -> DataFrame:
+    """The groups that hold several components."""
+    return df.groupBy(*by).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(*by)
+
+
+def _tiles(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (keys, id, component, ...) of each group that holds several components, with what _dealt_tiles() needs.
 
     Pairs of one component need no comparing. A group's largest component is one side, all other rows the other: others
-    meet each other and the largest, whose own rows never meet. Tile columns: kind (0 others, 1 with the largest), i, j
-    (blocks), b (the row's own block), big.
+    meet each other and the largest, whose own rows never meet. A tile is two blocks: kind (0 others, 1 with the
+    largest), i, j. Added columns: __b (the row's own block), __big (in the largest), __s, __l (blocks of either side).
     """
     per = df.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("several"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("several > 1")
@@ -212,14 +225,18 @@ def _open_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
     sizes = sizes.select(*keys, F.col("top.component").alias("__top"), blocks(F.col("all") - F.col("top.n")).alias("__s"), blocks(F.col("top.n")).alias("__l"))
     out = df.join(sizes, keys).withColumn("__big", F.col("component") == F.col("__top"))
     out = out.withColumn("__b", F.pmod(F.xxhash64("id", F.lit(77)), F.when(F.col("__big"), F.col("__l")).otherwise(F.col("__s"))).cast("int"))
+    return out.drop("__top")
+
+
+def _dealt_tiles(rows: DataFrame, keys: list[str], *payload: str) -> DataFrame:
+    """Each row of _tiles() once in each of its tiles, sorted by tile: keys, kind, i, j, b, big, id, component, payload."""
     to = lambda n: F.sequence(F.lit(0), n - 1)
     tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    b = F.col("__b")
-    large = F.transform(to(F.col("__s")), lambda i: tile(1, i, b))
-    small = F.concat(F.transform(to(F.col("__s")), lambda o: tile(0, F.least(b, o), F.greatest(b, o))), F.transform(to(F.col("__l")), lambda k: tile(1, b, k)))
-    out = out.withColumn("__t", F.explode(F.when(F.col("__big"), large).otherwise(small)))
-    kept = [c for c in df.columns if c not in [*keys, "id", "component"]]
-    out = out.select(*keys, F.col("__t.kind").alias("__kind"), F.col("__t.i").alias("__i"), F.col("__t.j").alias("__j"), F.col("__b"), F.col("__big"), "id", "component", *kept)
+    b, s, l = F.col("__b"), F.col("__s"), F.col("__l")  # noqa: E741
+    large = F.transform(to(s), lambda i: tile(1, i, b))
+    small = F.concat(F.transform(to(s), lambda o: tile(0, F.least(b, o), F.greatest(b, o))), F.transform(to(l), lambda k: tile(1, b, k)))
+    out = rows.withColumn("__t", F.explode(F.when(F.col("__big"), large).otherwise(small)))
+    out = out.select(*keys, F.col("__t.kind").alias("__kind"), F.col("__t.i").alias("__i"), F.col("__t.j").alias("__j"), "__b", "__big", "id", "component", *payload)
     return _dealt(out, [*keys, "__kind", "__i", "__j"], "id")
 
 
@@ -264,7 +281,7 @@ def _linked(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Edges()
-        for rows in _groups(batches, 4):
+        for rows in _groups(batches, 4, 6):
             left, right = _sides(rows, 1)
             if not left or not right:
                 continue
@@ -299,10 +316,10 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
     """(id, n_shingles, component_id, kept) for every row: texts linked at 100 * intersection >= percent * union.
 
     1. Each text gets its set's print, band keys and odd sketch; equal sets collapse into their smallest id.
-    2. Sets that share a band and are of compatible size form a bucket. Each member is compared with the bucket's first:
-       by sketch, and if that allows a link, by full sets. Large groups of near copies join up here, one comparison a
-       member.
-    3. In buckets that still hold several components, rows of different components meet in blocks, by sketch; what may
+    2. Sets that share a band form a bucket. Each member is compared with the bucket's first: by sketch, and if that
+       allows a link, by full sets. Large groups of near copies join up here, one comparison a member.
+    3. In buckets that still hold several components, rows of different components and compatible size meet in blocks,
+       by sketch; what may
        link forms families, whose rows of different components are compared by full sets. Blocks return spanning
        forests, never all pairs.
     A text that shares no band with a linked one is missed with the probability given at BANDS; nothing else is.
@@ -334,54 +351,63 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
         shingles = Shingler(size)
 
         def run(batch: pa.RecordBatch) -> list:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            return [pa.array([_print(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+            seen, sets = set(), []
+            column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "print", "text")}
+            for i, stands, t in zip(column["id"], column["print"], column["text"], strict=True):
+                s = None if i in seen else shingles(t)
+                s = s if s is not None and _print(s) == stands else None
+                if s is not None:
+                    seen.add(i)
+                sets.append(None if s is None else s.tobytes())
+            return [pa.array(sets, pa.binary())]
 
         return run
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
-    signed = stored(with_arrow(base, fields, make_signed, 2 << 20).drop("text"))
-    rep = stored(signed.where("n > 0").groupBy("n", "print").agg(F.min("id").alias("rep")))
-    stands = rep.groupBy(F.col("rep").alias("id")).agg(F.min("print").alias("print"))  # one text per id
-    first = signed.select("id", "n", "print", "keys", "sketch").join(stands, ["id", "print"], "left_semi").dropDuplicates(["id"]).drop("print")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, set) of these ids' texts, those that stand for them."""
-        made = with_arrow(base.join(ids, "id", "left_semi"), [T.StructField("print", T.BinaryType()), T.StructField("set", T.BinaryType())], make_sets, 2 << 20).drop("text")
-        return stored(made.join(stands.join(ids, "id", "left_semi"), ["id", "print"], "left_semi").dropDuplicates(["id"]).drop("print"))
+    # text comes back as the sketch or the set made of it, so that no text crosses twice
+    fields = [T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.BinaryType())]
+    signed = stored(with_arrow(base, fields, make_signed, 2 << 20).withColumnRenamed("text", "sketch"))
+    rep = stored(signed.where("n > 0").groupBy("n", "print").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    several = stored(rep.groupBy("id").agg(F.min("print").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    first = rep.join(several, "id", "left").where("id is not null and (least is null or print = least)").drop("least")  # one text per id
+
+    def with_sets(ids: DataFrame) -> DataFrame:
+        """ids (unique id and other columns) with the set of each id's text, the one that stands for it."""
+        texts = base.join(ids.join(first.select("id", "print"), "id"), "id")
+        return with_arrow(texts, [T.StructField("text", T.BinaryType())], make_sets, 2 << 20).withColumnRenamed("text", "set").where("set is not null")
+
+    bands = first.select("id", "n", F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = stored(bands.join(buckets, "key").select("key", "u", "id", "n"))
+    sketches = first.select("id", "n", "sketch")
+
+    proposed = stored(met.where("id <> u").select("u", F.col("id").alias("v")).distinct())
+    near = _dealt_roles(_roles(proposed, PART).join(sketches, "id"), "n", "sketch")
+    stars = stored(near.mapInArrow(_near_first(most, ratio), "u long, v long"))
+    discard(proposed)
+    places = _roles(stars, BLOCK).groupBy("id").agg(F.collect_list(F.struct("u", "part", "role")).alias("to"))
+    sets = with_sets(places).select("id", "set", F.inline("to"))
+    star_links = stored(_dealt_roles(sets, "set").mapInArrow(_linked_first(percent), "u long, v long"))
+    discard(stars)
+    joined = stored(connected_components(star_links))
 
-    bands = first.select("id", "n", F.explode("keys").alias("key")).repartition(n_partitions(spark), "key")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    placed = stored(met.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("component")))
+    discard(met)
     # sizes that can link differ by at most one step of this scale: each row sits in its own step and the next
     scale = math.log(100 / percent) * 1.0001
     step = F.floor(F.log("n") / F.lit(scale)).cast("int")
-    met = bands.join(shared, "key").select("key", F.explode(F.array(step, step + 1)).alias("step"), "id")
-    sketched = stored(met.join(first.select("id", "n", "sketch"), "id").select("key", "step", "id", "n", "sketch"))
-
-    stars = stored(_stars(sketched, ["key", "step"], PART).mapInArrow(_near_first(most, ratio), "u long, v long").distinct())
-    in_stars = stars.select(F.col("v").alias("id")).union(stars.select("u")).distinct()
-    sets = sets_of(in_stars)
-    parts = stars.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("c"))
-    members = stars.join(parts, "u").join(sets, F.col("v") == F.col("id")).select("u", F.pmod(F.xxhash64("v", F.lit(79)), F.col("c")).cast("int").alias("part"), F.lit(1).alias("role"), "id", "set")
-    firsts = parts.join(sets, F.col("u") == F.col("id")).select("u", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("part"), F.lit(0).alias("role"), "id", "set")
-    star_links = stored(_dealt(members.union(firsts), ["u", "part"], "role", "id").mapInArrow(_linked_first(percent), "u long, v long"))
-    discard(stars), discard(sets)
-    joined = stored(connected_components(star_links))
-
-    placed = sketched.join(joined, "id", "left").withColumn("component", F.coalesce("component_id", "id")).drop("component_id")
-    alive = placed.groupBy("key", "step").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "step")
-    rest = stored(placed.join(alive, ["key", "step"], "left_semi").select("key", "step", "id", "component", "n", "sketch"))
-    discard(sketched)
-    pairs = _open_blocks(rest, ["key", "step"]).mapInArrow(_alike(most, ratio), "u long, v long")
+    stepped = stored(placed.join(_several(placed, ["key"]), "key", "left_semi").select("key", F.explode(F.array(step, step + 1)).alias("step"), "id", "component"))
+    discard(placed)
+    rest = stepped.join(_several(stepped, ["key", "step"]), ["key", "step"], "left_semi")
+    tiles = _tiles(rest, ["key", "step"]).join(sketches, "id")
+    pairs = _dealt_tiles(tiles, ["key", "step"], "n", "sketch").mapInArrow(_alike(most, ratio), "u long, v long")
     family = stored(connected_components(pairs.distinct()))
-    discard(rest)
-    sets = sets_of(family.select("id"))
+    discard(stepped)
     related = family.select("id", F.col("component_id").alias("family")).join(joined, "id", "left").select("family", "id", F.coalesce("component_id", "id").alias("component"))
-    links = _open_blocks(related.join(sets, "id").select("family", "id", "component", "set"), ["family"]).mapInArrow(_linked(percent), "u long, v long")
-    joined = stored(connected_components(star_links.union(links)))
-    discard(star_links), discard(sets), discard(family)
+    links = _dealt_tiles(with_sets(_tiles(related, ["family"])), ["family"], "set").mapInArrow(_linked(percent), "u long, v long")
+    starred, joined = joined, stored(connected_components(star_links.union(links)))
+    discard(star_links), discard(family), discard(starred)
 
-    named = rep.join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("n", "print", F.coalesce("component_id", "rep").alias("component_id"))
+    named = rep.select("n", "print", "id").join(joined, "id", "left").select("n", "print", F.coalesce("component_id", "id").alias("component_id"))
     out = signed.select("id", "n", "print").join(named, ["n", "print"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
