@@ -19,10 +19,9 @@ from .components import Forest, connected_components
 BANDS, ROWS = 32, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Rows of a block; where more rows have to be compared, pairs of such blocks meet.
+#: Rows of a block; where more rows have to be compared, pairs of such blocks meet. Also the members of a bucket that are
+#: compared with its first member in one place.
 BLOCK = 256
-#: Members of a bucket that are compared with its first member in one place.
-PART = 4096
 #: Standard deviations below the threshold at which a sketch still passes a pair on to the full sets.
 MARGIN = 5.0
 
@@ -372,7 +371,9 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
 
     def with_sets(ids: DataFrame) -> DataFrame:
         """ids (unique id and other columns) with the set of each id's text, the one that stands for it."""
-        texts = base.join(ids.join(first.select("id", "print"), "id"), "id")
+        wanted = stored(ids.join(first.select("id", "print"), "id"))
+        # a stored table's size is known, so few ids are broadcast and only their texts move; else both joins share one exchange
+        texts = base.join(wanted.select("id"), "id", "left_semi").join(wanted, "id")
         return with_arrow(texts, [T.StructField("text", T.BinaryType())], make_sets, 2 << 20).withColumnRenamed("text", "set").where("set is not null")
 
     bands = first.select("id", "n", F.explode("keys").alias("key"))
@@ -381,7 +382,7 @@ def minhash_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, i
     sketches = first.select("id", "n", "sketch")
 
     proposed = stored(met.where("id <> u").select("u", F.col("id").alias("v")).distinct())
-    near = _dealt_roles(_roles(proposed, PART).join(sketches, "id"), "n", "sketch")
+    near = _dealt_roles(_roles(proposed, BLOCK).join(sketches, "id"), "n", "sketch")
     stars = stored(near.mapInArrow(_near_first(most, ratio), "u long, v long"))
     discard(proposed)
     places = _roles(stars, BLOCK).groupBy("id").agg(F.collect_list(F.struct("u", "part", "role")).alias("to"))
